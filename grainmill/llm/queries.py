@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm import packing, token_store, url_filter
+from grainmill.llm import ann, packing, pivots, simhash, token_store, url_filter
 from grainmill.llm.common import tokenizer_path
 
 
@@ -24,13 +24,26 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = token_store.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return token_store.read_tokens(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_packing, op8_token_store)}
+    return {f.__name__: f for f in (op2_url_filter, op3_packing, op4_ann, op5_simhash, op8_token_store, op10_pivot_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
