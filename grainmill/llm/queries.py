@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm import ann, packing, pivots, simhash, token_store, url_filter
+from grainmill.llm import ann, packing, pivots, simhash, token_store, toxicity, url_filter
 from grainmill.llm.common import tokenizer_path
 
 
@@ -37,13 +37,18 @@ def op10_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = token_store.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return token_store.read_tokens(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_packing, op4_ann, op5_simhash, op8_token_store, op10_pivot_dedup)}
+    return {f.__name__: f for f in (op2_url_filter, op3_packing, op4_ann, op5_simhash, op7_toxicity, op8_token_store, op10_pivot_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
