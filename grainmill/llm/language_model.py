@@ -8,6 +8,8 @@ class's tokens, which leaves one share for words that training didn't see. So th
 
 from __future__ import annotations
 
+import heapq
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -24,6 +26,7 @@ from grainmill.plans.shared import materialise
 END = b""  # a document's last token; no word is empty
 TAILS = 32
 FLUSH = 200_000
+_LOGS: dict[str, dict[bytes, float]] = {}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -61,6 +64,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return counts.mapInArrow(tails, "word binary, n long, tail int")
 
 
+def classes(head: int, single: int = 16, size: int = 48) -> list[np.ndarray]:
+    """The head's classes, runs of the frequency order: the first words by themselves, then ``size`` words each."""
+    return [np.arange(a, min(b, head)) for a, b in [(k, k + 1) for k in range(min(single, head))] + [(k, k + size) for k in range(single, head, size)]]
+
+
 @dataclass
 class Vocabulary:
     """The head's words, most frequent first, their classes, and each tail class's tokens and words."""
@@ -79,7 +87,6 @@ class Vocabulary:
         top = counts.orderBy(F.desc("n"), "word").limit(size).select("word", "n", "tail").collect()
         head = {bytes(r["word"]): k for k, r in enumerate(top)}
         n = np.array([r["n"] for r in top], np.float64)
-        bounds = np.minimum((np.cumsum(np.sqrt(n)) - np.sqrt(n)) / max(np.sqrt(n).sum(), 1e-9) * len(n) ** 0.5, len(n)).astype(int) if len(n) else np.zeros(0, int)
         tokens, words = np.zeros(TAILS), np.zeros(TAILS)
         for r in counts.groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
             tokens[r["tail"]], words[r["tail"]] = r["n"], r["words"]
@@ -87,7 +94,7 @@ class Vocabulary:
         for r in top:
             tokens[r["tail"]] -= r["n"]
             words[r["tail"]] -= 1
-        return cls(head, n, [np.flatnonzero(bounds == b) for b in np.unique(bounds)], tokens, words, total, distinct)
+        return cls(head, n, classes(len(top)), tokens, words, total, distinct)
 
 
 class Encoder(dict):
@@ -142,6 +149,54 @@ class Model:
         c = np.tanh(gates[:, 2 * n :] + r * un)
         return c + z * (h - c), z, r, un, c
 
+    def ready(self) -> None:
+        """Lay the gates' weights out for inference: signs and factors of the exponentials are in them."""
+        n, table = self.hidden, self.emb + self.bias
+        self._zr, self._c = np.ascontiguousarray(-table[:, : 2 * n]), np.ascontiguousarray(-2 * table[:, 2 * n :])
+        self._wzr, self._wc = np.ascontiguousarray(-self.wh[:, : 2 * n]), np.ascontiguousarray(-2 * self.wh[:, 2 * n :])
+
+    def infer(self, x: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The next state; the same as ``step``'s."""
+        n = self.hidden
+        zr = self._zr.take(x, 0)
+        zr += h @ self._wzr
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        c = h @ self._wc
+        c *= zr[:, n:]
+        c += self._c.take(x, 0)
+        np.exp(c, out=c)
+        c += 1
+        np.divide(2, c, out=c)
+        c -= 1
+        following = h - c
+        following *= zr[:, :n]
+        following += c
+        return following
+
+    def log_probability(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Natural log probabilities of symbols y. States lie within -1 and 1, so the exponentials can't overflow."""
+        logits = h @ self.out
+        logits += self.out_bias
+        own = self.class_of.take(y)
+        logp = logits[np.arange(len(y)), own]
+        np.exp(logits, out=logits)
+        logp -= np.log(logits.sum(1))
+        inside = np.flatnonzero(y < self.n_head)
+        inside = inside[np.argsort(own[inside], kind="stable")]
+        cuts = np.searchsorted(own[inside], np.arange(len(self.classes) + 1))
+        for c, ids in enumerate(self.classes):
+            rows = inside[cuts[c] : cuts[c + 1]]
+            if len(rows) and len(ids) > 1:
+                lo, hi = ids[0], ids[-1] + 1
+                inner = h[rows] @ self.word[lo:hi].T
+                inner += self.word_bias[lo:hi] - self.word_bias[lo]
+                at = inner[np.arange(len(rows)), y[rows] - lo]
+                np.exp(inner, out=inner)
+                logp[rows] += at - np.log(inner.sum(1))
+        return logp
+
     def outputs(self, h: np.ndarray, y: np.ndarray, gradient: bool = False):
         """Natural log probabilities of symbols y; with ``gradient`` also the gradients of their mean, negated."""
         logits = h @ self.out + self.out_bias
@@ -260,18 +315,17 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, hidden: int = 32, fit_tokens: i
     return model
 
 
-def score_batch(model: Model, symbols: list[np.ndarray], lanes: int = 512, steps: int = 32) -> np.ndarray:
+def score_batch(model: Model, symbols: list[np.ndarray], most_lanes: int = 384, steps: int = 32) -> np.ndarray:
     """log10 probability of each document's symbols; documents run side by side, each with its state carried on.
 
     A lane takes the next document when its own ends, so that long documents don't hold up short ones.
     """
     order = sorted(range(len(symbols)), key=lambda k: -len(symbols[k]))
-    lanes = min(lanes, len(order)) or 1
+    total = sum(map(len, symbols))
+    lanes = min(most_lanes, max(64, 2 * total // max(1, max(map(len, symbols), default=1))), len(order)) or 1
     # Longest first, each to the least filled lane: lanes end at about the same time.
     heads = np.zeros(lanes, np.int64)
     own: list[list[int]] = [[] for _ in range(lanes)]
-    import heapq
-
     heap = [(0, k) for k in range(lanes)]
     for d in order:
         load, lane = heapq.heappop(heap)
@@ -290,6 +344,7 @@ def score_batch(model: Model, symbols: list[np.ndarray], lanes: int = 512, steps
     x[:1] = model.symbols
     if longest:
         x[1:] = np.where(doc[1:] != doc[:-1], model.symbols, y[:-1])
+    model.ready()
     totals = np.zeros(len(symbols) + 1)
     h = np.zeros((lanes, model.hidden), np.float32)
     live = np.sort(heads)[::-1]
@@ -302,22 +357,30 @@ def score_batch(model: Model, symbols: list[np.ndarray], lanes: int = 512, steps
             fresh = x[s, :width] == model.symbols
             if fresh.any():
                 h = np.where(fresh[:, None], np.float32(0), h)
-            h = model.step(x[s, :width], h)[0]
+            h = model.infer(x[s, :width], h)
             hs.append(h)
         ds = doc[span.start : span.stop, :width].ravel()
         ok = ds < len(symbols)
-        logp = model.outputs(np.concatenate(hs)[ok], y[span.start : span.stop, :width].ravel()[ok])
+        logp = model.log_probability(np.concatenate(hs)[ok], y[span.start : span.stop, :width].ravel()[ok])
         totals += np.bincount(ds[ok], logp, len(totals))
     return totals[:-1] / np.log(10)
 
 
-def score_documents(docs: DataFrame, head: int = 2048, hidden: int = 32, fit_tokens: int = 1_200_000) -> DataFrame:
+def logs(name: str, counts) -> dict[bytes, float]:
+    """log10(n + 1) of the words of a broadcast count table, made once per Python worker."""
+    if name not in _LOGS:
+        _LOGS.clear()
+        _LOGS[name] = dict(zip(counts.value, np.log10(np.fromiter(counts.value.values(), float) + 1).tolist()))
+    return _LOGS[name]
+
+
+def score_documents(docs: DataFrame, head: int = 1552, hidden: int = 24, fit_tokens: int = 1_200_000, known_words: int = 262_144) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row of ``docs(doc_id, text)``.
 
     Held out are rows whose crc32(doc_id) leaves 2 by 7 (a null id counts as empty text); the others are trained on.
-    base_score is the smoothed unigram's log10 probability, score the model's. Head words are scored where the text is
-    read; of the tail, (document, word, times) rows meet their counts in a join, so no count table is broadcast but the
-    head's. Null texts count as empty, with the end as only token; rows that repeat an id are each scored; other
+    base_score is the smoothed unigram's log10 probability, score the model's. The ``known_words`` most frequent words'
+    counts, a bounded table, are at hand where the text is read; of rarer words, (document, word, times) rows meet their
+    counts in a join, so that no table that grows is broadcast. Null texts count as empty, with the end as only token; rows that repeat an id are each scored; other
     columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
@@ -327,52 +390,56 @@ def score_documents(docs: DataFrame, head: int = 2048, hidden: int = 32, fit_tok
     model = fit(training, vocabulary, hidden, fit_tokens)
     encoder = Encoder(vocabulary)
     n_head, space = len(vocabulary.head), vocabulary.tokens + vocabulary.words + 1
-    base_of = np.append(np.log10((vocabulary.counts + 1) / space), np.zeros(TAILS))
+    name = uuid.uuid4().hex
+    log_space = float(np.log10(space))
+    frequent = counts.orderBy(F.desc("n"), "word").limit(known_words).select("word", "n").collect()
+    frequent = docs.sparkSession.sparkContext.broadcast({bytes(r["word"]): r["n"] for r in frequent[n_head:]})
+    base_of = np.append(np.log10(vocabulary.counts + 1) - log_space, np.zeros(TAILS))
     rest = np.log10(vocabulary.tail_tokens + vocabulary.tail_words + 1)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task, k = TaskContext.get().partitionId() << 36, 0
+        at_hand = logs(name, frequent)
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            symbols = [s for _, _, s, _ in held]
-            scores = score_batch(model, symbols)
-            tails = [[{"word": w, "times": n} for w, n in t.items()] for *_, t in held]
-            known = [int((s < n_head).sum()) for s in symbols]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r for r, *_ in held], pa.int64()), pa.array([d for _, d, *_ in held], pa.int64()), pa.array([len(s) for s in symbols], pa.int64()), pa.array(known, pa.int64()), pa.array([float(base_of[s].sum()) for s in symbols], pa.float64()), pa.array([float(x - rest[s[s >= n_head] - n_head].sum()) for x, s in zip(scores, symbols)], pa.float64()), pa.array(tails, pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))],
-                ["row", "doc_id", "n_tokens", "head_tokens", "head_base", "head_score", "tail"],
-            )
+            ids, docs_, symbols, tails, shares, seen, times = zip(*held)
+            scores = score_batch(model, list(symbols))
+            known = [int((s < n_head).sum()) + k for s, k in zip(symbols, seen)]
+            base = [float(base_of[s].sum()) + share - n * log_space for s, share, n in zip(symbols, shares, times)]
+            score = [float(x - rest[s[s >= n_head] - n_head].sum()) + share for x, s, share in zip(scores, symbols, shares)]
+            rare = [[{"word": w, "times": n} for w, n in t.items()] for t in tails]
+            longs = lambda x: pa.array(x, pa.int64())
+            return pa.RecordBatch.from_arrays([longs(ids), longs(docs_), longs([len(s) for s in symbols]), longs(known), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))], ["row", "doc_id", "n_tokens", "known", "base", "score", "rare"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 words = words_of(text.as_py())
                 symbols = np.fromiter(map(encoder.__getitem__, words), np.int32, len(words))
-                tail = Counter(words[i] for i in np.flatnonzero(symbols >= n_head).tolist())
-                held.append((task | k, doc_id.as_py(), symbols, tail))
+                rare: Counter[bytes] = Counter()
+                share, seen, times = 0.0, 0, 0
+                for word in [words[i] for i in np.flatnonzero(symbols >= n_head).tolist()]:
+                    n = at_hand.get(word)
+                    if n is None:
+                        rare[word] += 1
+                    else:
+                        share, seen = share + n, seen + 1
+                    times += 1
+                held.append((task | k, doc_id.as_py(), symbols, rare, share, seen, times))
                 k, size = k + 1, size + len(words)
-                if size > 400_000:
+                if size > 1_000_000:
                     yield out()
                     held, size = [], 0
         if held:
             yield out()
 
-    ddl = "row long, doc_id long, n_tokens long, head_tokens long, head_base double, head_score double, tail array<struct<word:binary,times:long>>"
+    ddl = "row long, doc_id long, n_tokens long, known long, base double, score double, rare array<struct<word:binary,times:long>>"
     read_ = materialise(rows.mapInArrow(read, ddl), "scored")
-    tail = read_.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.times")
-    joined = tail.join(counts.select("word", "n"), "word", "left")
-    share = F.log10(F.coalesce("n", F.lit(0)) + 1) * F.col("times")
-    sums = joined.groupBy("row").agg(F.sum(share).alias("share"), F.sum("times").alias("times"), F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("seen"))
-    out = read_.drop("tail").join(sums, "row", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return out.select(
-        "doc_id",
-        held_out(F.col("doc_id"), 7).alias("held_out"),
-        "n_tokens",
-        (F.col("head_tokens") + zero("seen")).alias("n_known"),
-        F.lit(vocabulary.tokens).cast("long").alias("train_tokens"),
-        (F.col("head_base") + zero("share") - zero("times") * float(np.log10(space))).alias("base_score"),
-        (F.col("head_score") + zero("share")).alias("score"),
-    )
+    rare = read_.select("row", F.explode("rare").alias("t")).select("row", "t.word", "t.times")
+    joined = rare.join(counts.select("word", "n"), "word")
+    sums = joined.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1) * F.col("times")).alias("share"), F.sum("times").alias("seen"))
+    out = read_.drop("rare").join(sums, "row", "left")
+    share, seen = F.coalesce("share", F.lit(0.0)), F.coalesce("seen", F.lit(0))  # a word that training lacks adds log10(1)
+    return out.select("doc_id", held_out(F.col("doc_id"), 7).alias("held_out"), "n_tokens", (F.col("known") + seen).alias("n_known"), F.lit(vocabulary.tokens).cast("long").alias("train_tokens"), (F.col("base") + share).alias("base_score"), (F.col("score") + share).alias("score"))

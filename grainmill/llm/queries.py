@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm import ann, packing, pivots, simhash, token_store, toxicity, url_filter
+from grainmill.llm import ann, language_model, packing, pivots, simhash, token_store, toxicity, url_filter
 from grainmill.llm.common import tokenizer_path
 
 
@@ -33,6 +33,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -48,7 +52,7 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_packing, op4_ann, op5_simhash, op7_toxicity, op8_token_store, op10_pivot_dedup)}
+    return {f.__name__: f for f in (op2_url_filter, op3_packing, op4_ann, op5_simhash, op7_toxicity, op8_token_store, op9_language_model, op10_pivot_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
