@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm import ann, language_model, packing, pivots, simhash, token_store, toxicity, url_filter
+from grainmill.llm import ann, language_model, packing, pivots, simhash, substring_dedup, token_store, toxicity, url_filter
 from grainmill.llm.common import tokenizer_path
 
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -52,7 +56,7 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_packing, op4_ann, op5_simhash, op7_toxicity, op8_token_store, op9_language_model, op10_pivot_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op3_packing, op4_ann, op5_simhash, op7_toxicity, op8_token_store, op9_language_model, op10_pivot_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
