@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm import ann, language_model, packing, pivots, simhash, substring_dedup, token_store, toxicity, url_filter
+from grainmill.llm import ann, language_model, packing, pivots, sentencepiece, simhash, substring_dedup, token_store, toxicity, url_filter
 from grainmill.llm.common import tokenizer_path
 
 
@@ -45,6 +45,12 @@ def op10_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("piece_bpe_32k.model")
+    both = sentencepiece.decode_documents(sentencepiece.encode_documents(table(spark, sf_dir, "documents"), path), path)
+    return both.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -56,7 +62,7 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op3_packing, op4_ann, op5_simhash, op7_toxicity, op8_token_store, op9_language_model, op10_pivot_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op3_packing, op4_ann, op5_simhash, op6_sentencepiece, op7_toxicity, op8_token_store, op9_language_model, op10_pivot_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
