@@ -50,28 +50,56 @@ def restore(ranges: DataFrame, offsets: DataFrame, bucket: int = 1 << 16, least:
     return cut.distinct().where(F.col("stop") - F.col("start") >= least)
 
 
+def anchors(hashes: np.ndarray, reach: int) -> np.ndarray:
+    """Places whose hash is the least (the first of equal ones) of some ``reach`` neighbours in a row."""
+    if len(hashes) <= reach:
+        return np.array([hashes.argmin()]) if len(hashes) else np.zeros(0, np.int64)
+    view = np.lib.stride_tricks.sliding_window_view(hashes, reach)
+    found = [np.unique(view[k : k + 20_000].argmin(1) + np.arange(k, min(k + 20_000, len(view)))) for k in range(0, len(view), 20_000)]
+    return np.unique(np.concatenate(found))
+
+
 def repeated_windows(docs: DataFrame, length: int = 100, keep_first: bool = False) -> DataFrame:
     """``(id, start, stop)``: byte ranges covered by windows of ``length`` bytes that stand more than once in the texts.
 
-    A window is known by a pair of rolling hashes of 62 bits together. Hashes are counted with partial aggregation.
-    With ``keep_first`` the first window of each kind (by id, then place) is not reported.
+    First only anchors are counted: of the half windows inside each window, the one with the least hash. Equal windows
+    have equal anchors, so windows are hashed only around anchors that repeat, some percent of the bytes. Hashes are a
+    pair of 31 bits each; they are counted with partial aggregation. With ``keep_first`` the first window of each kind
+    (by id, then place) is not reported.
     """
+    half = max(1, length // 2)
+    reach = length - half + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bytes_of(text: str | None) -> np.ndarray:
+        return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-                n = len(data) - length + 1
-                if doc is None or n < 1:
-                    continue
-                hashes = window_hashes(data, length)
-                for k in range(0, n, 100_000):
-                    some = hashes[k : k + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), doc, np.int64)), pa.array(np.arange(k, k + len(some), dtype=np.int64)), pa.array(some)], ["id", "start", "hash"])
+                data = bytes_of(text)
+                if len(data) >= length:
+                    hashes = window_hashes(data, half)
+                    at = anchors(hashes, reach)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc, np.int64)), pa.array(at.astype(np.int64)), pa.array(hashes[at])], ["id", "start", "hash"])
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text")).mapInArrow(run, "id long, start long, hash long")
-    many = rows.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("id", "start")).alias("first")).where("n > 1").select("hash", "first")
-    found = rows.join(many, "hash")
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                data = bytes_of(text)
+                hashes = window_hashes(data, length)
+                near = np.unique(np.array(at)[:, None] - np.arange(reach)[None])
+                near = near[(near >= 0) & (near < len(hashes))]
+                for k in range(0, len(near), 100_000):
+                    some = near[k : k + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), doc, np.int64)), pa.array(some.astype(np.int64)), pa.array(hashes[some])], ["id", "start", "hash"])
+
+    rows = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text")).where("id is not null")
+    picked = rows.mapInArrow(pick, "id long, start long, hash long")
+    twice = picked.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    places = picked.join(twice, "hash").groupBy("id").agg(F.collect_list("start").alias("at"))  # bounded by a text
+    windows = rows.join(places, "id").select("id", "text", "at").mapInArrow(around, "id long, start long, hash long")
+    many = windows.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("id", "start")).alias("first")).where("n > 1").select("hash", "first")
+    found = windows.join(many, "hash")
     if keep_first:
         found = found.where("id <> first.id or start <> first.start")
     return merge_overlapping(found.select("id", "start", (F.col("start") + length).alias("stop")))
