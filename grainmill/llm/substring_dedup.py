@@ -179,7 +179,8 @@ def near_links(docs: DataFrame, found: DataFrame, threshold: float) -> DataFrame
     second pass over the texts; that pass returns the shingles of marked paragraphs, and a join by content undoes the
     bitmap's collisions. Then each key's contents are compared.
     """
-    keyed = found.select(F.explode("keys").alias("key"), "content")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = found.select(F.explode("keys").alias("key"), "content").repartition(parts, "key")  # one exchange for what follows
     mixed = keyed.groupBy("key").agg(F.min("content").alias("low"), F.max("content").alias("high")).where("low <> high").select("key")
     candidates = materialise(keyed.join(mixed, "key").distinct(), "candidates")
     bit = F.pmod(F.col("content"), F.lit(1 << BITS))
