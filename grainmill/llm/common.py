@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 LONG = 1_000_000
 
 

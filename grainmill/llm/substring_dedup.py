@@ -128,7 +128,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, j in text_slices(texts, 1_500_000):
+            for i, j in text_slices(texts, 400_000):
                 p = Paragraphs(texts[i:j])
                 start, length = p.spans()
                 doc = ids[i:j][p.doc[p.a]] if len(p.a) else np.zeros(0, np.int64)
@@ -197,7 +197,7 @@ def near_links(docs: DataFrame, found: DataFrame, threshold: float) -> DataFrame
         bits = shared.value
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for i, j in text_slices(texts, 1_500_000):
+            for i, j in text_slices(texts, 400_000):
                 p = Paragraphs(texts[i:j])
                 at = p.content & ((1 << BITS) - 1)
                 picked = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
