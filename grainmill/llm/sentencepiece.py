@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BATCH_CHARS = 1_000_000
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -119,6 +119,7 @@ class Encoder:
         self.length = [len(p) for p in v.pieces]
         self.allowed: dict[tuple[int, int], bool] = {}
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # the generation before, once CACHE_WORDS are held
 
     def merge(self, text: str, least: int = 1) -> list[str]:
         """The pieces of a short text by merging: the best score first, the leftmost of equal ones; down to ``least``."""
@@ -254,10 +255,13 @@ class Encoder:
         """Each text's ids as little-endian unsigned 32-bit bytes."""
         cut = [self.split(t) for t in texts]
         distinct = {w for ws in cut for w in ws}
-        new = sorted(w for w in distinct if w not in self.words)
+        new = [w for w in distinct if w not in self.words]
         if len(self.words) + len(new) > CACHE_WORDS:
-            self.words.clear()
-            new = sorted(distinct)
+            self.old, self.words = self.words, {}
+            new = list(distinct)
+        if self.old:
+            self.words.update((w, self.old[w]) for w in new if w in self.old)
+            new = [w for w in new if w not in self.words]
         plain = [w for w in new if "\0" not in w]
         self.encode_words(plain)
         for word in set(new) - set(plain):  # the end mark itself: its bytes stand alone, no piece has them
