@@ -17,10 +17,14 @@ def ngrams(words: Column, n: int, min_length: int = 1) -> Column:
     """Runs of n words joined by spaces: none below ``min_length`` words, one short run below n."""
     if n < 1:
         raise ValueError("n must be 1 or more")
-    size = F.size(words)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
     none = F.array().cast("array<string>")
-    return F.when(size < max(min_length, 1), none).when(size < n, F.array(F.array_join(words, " "))).otherwise(runs)
+
+    def of(w: Column) -> Column:
+        size = F.size(w)
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+        return F.when(size < max(min_length, 1), none).when(size < n, F.array(F.array_join(w, " "))).otherwise(runs)
+
+    return F.get(F.transform(F.array(words), of), F.lit(0))  # binds the words, else each run would make them anew
 
 
 def shingle_set(text: Column, n: int, min_length: int = 1) -> Column:
@@ -82,4 +86,4 @@ def entropy(text: Column) -> Column:
 
 def luhn_valid(text: Column) -> Column:
     """Whether a text of digits passes the Luhn check; anything else is false."""
-    return F.when(text.isNull(), None).otherwise(text.rlike("^[0-9]+$") & F.coalesce(F.luhn_check(text), F.lit(False)))
+    return F.when(text.isNull(), None).otherwise(text.rlike("^[0-9]+$") & F.coalesce(F.call_function("luhn_check", text), F.lit(False)))
