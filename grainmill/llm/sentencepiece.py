@@ -117,7 +117,7 @@ class Encoder:
         for k, p in enumerate(names):
             self.matrix[k, : len(p)] = [ord(c) for c in p]
         self.length = [len(p) for p in v.pieces]
-        self.allowed: dict[tuple[int, int], bool] = {}
+        self.allowed: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}  # the generation before, once CACHE_WORDS are held
 
@@ -141,7 +141,7 @@ class Encoder:
         The last merges of both are undone, the later one first. If a part of a's end and a part of b's beginning would
         have merged before what they were merged into otherwise, they don't stay.
         """
-        key = (a, b)
+        key = a << 20 | b
         if key not in self.allowed:
             if len(self.allowed) > 1_000_000:
                 self.allowed.clear()
@@ -192,7 +192,7 @@ class Encoder:
         piece = np.repeat(np.arange(len(sizes)), sizes)
         begin = order[np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(piece))]
         end = begin + self.piece_lengths[piece]
-        by = np.lexsort((self.piece_lengths[piece], end))
+        by = np.lexsort((-self.piece_lengths[piece], end))  # the longest first: it is the likeliest
         return end[by], self.piece_ids[piece[by]]
 
     def encode_words(self, words: list[str]) -> None:
@@ -213,7 +213,7 @@ class Encoder:
                         k += 1
                         before = last[e - length[p]]
                         if before >= 0:
-                            fits = allowed.get((before, p))
+                            fits = allowed.get(before << 20 | p)
                             if fits is None:
                                 fits = self.follows(before, p)
                             if not fits:
@@ -244,6 +244,8 @@ class Encoder:
             return [marked]
         parts = marked.split(SPACE)
         words, run = [parts[0]] if parts[0] else [], 0
+        if "" not in parts[1:]:
+            return [*words, *map(SPACE.__add__, parts[1:])]
         for part in parts[1:]:
             run += 1
             if part:
