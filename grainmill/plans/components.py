@@ -56,9 +56,12 @@ def connected_components(edges: DataFrame, src: str, dst: str, contracted: bool
     """
     both = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b"))
     both = both.where("a is not null and b is not null and a <> b")
+    raw = None
     if contracted:
-        both = contract(both)
+        raw = materialise(both, "links")  # so that no task runs a Python worker here and one that makes the edges
+        both = contract(raw)
     current = materialise(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    drop_table(raw)
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
