@@ -21,7 +21,7 @@ QUOTES = re.compile("[\"“”„«»]")
 REPORTS = frozenset("said says wrote writes quoted quote called reported sagte schrieb zitat dit dijo escribió cita".split())
 KINDS = ("exact", "stem", "one", "two")
 FEATURES = [f"{kind}{where}" for kind in KINDS for where in ("", "_quoted")]
-CACHE = 300_000
+CACHE = 100_000
 
 
 def letters(word: str) -> str:
