@@ -260,15 +260,22 @@ class Model:
         return float(logp.mean()), h, g
 
 
-def train(model: Model, stream: np.ndarray, streams: int = 128, steps: int = 16, rate: float = 0.02, passes: int = 1) -> float:
-    """Adagrad over a token stream, cut into parallel streams whose states are carried from window to window."""
+def fresh_memory(model: Model) -> list[np.ndarray]:
+    return [np.full_like(p, 1e-6) for p in model.parameters()]
+
+
+def train(model: Model, stream: np.ndarray, streams: int = 128, steps: int = 16, rate: float = 0.02, passes: int = 1, memory: list[np.ndarray] | None = None) -> float:
+    """Adagrad over a token stream, cut into parallel streams whose states are carried from window to window.
+
+    ``memory`` holds the sums of squared gradients so far, a table per parameter, and is added to.
+    """
     width = len(stream) // streams
     if width < 2:
         streams, width = 1, len(stream)
     if width < 2:
         return 0.0
     rows = stream[: streams * width].reshape(streams, width).T
-    memory = [np.full_like(p, 1e-6) for p in model.parameters()]
+    memory = fresh_memory(model) if memory is None else memory
     first, seen = model.symbols, []
     for _ in range(passes):
         h = np.zeros((streams, model.hidden), np.float32)
@@ -291,27 +298,109 @@ def train(model: Model, stream: np.ndarray, streams: int = 128, steps: int = 16,
     return float(np.mean(seen[-50:])) if seen else 0.0
 
 
-def fit(docs: DataFrame, vocabulary: Vocabulary, hidden: int = 32, fit_tokens: int = 1_200_000, passes: int = 2) -> Model:
-    """Train on whole documents of ``docs(doc_id, text)``, picked by a hash of doc_id, with about ``fit_tokens`` tokens.
+def encoded(encoder: Encoder, batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.fromiter(map(encoder.__getitem__, words_of(t.as_py())), "<i4") for t in batch.column(0)]
 
-    The bound is on what stochastic gradient descent sees; vocabulary, classes, counts and shares are of all documents.
+
+def train_all(model: Model, texts: Iterator[list[np.ndarray]], memory: list[np.ndarray], chunk: int = 1_000_000) -> int:
+    """Train on every token of the documents, about ``chunk`` at a time; the number of tokens.
+
+    A chunk is filled up to equal streams with tokens from its start, so that none is left out.
+    """
+    held, size, seen = [], 0, 0
+
+    def step() -> None:
+        stream = np.concatenate(held)
+        streams = max(1, min(512, len(stream) // 64))
+        train(model, np.resize(stream, -(-len(stream) // streams) * streams), streams, memory=memory)
+
+    for some in texts:
+        for ids in some:
+            held.append(ids)
+            size += len(ids)
+            if size >= chunk:
+                step()
+                held, seen, size = [], seen + size, 0
+    if size:
+        step()
+    return seen + size
+
+
+def mean_models(trained: DataFrame, fan_in: int = 4) -> tuple[int, np.ndarray | None]:
+    """Tokens, and the mean of ``trained(part, tokens, weights)`` by tokens; summed in groups before the driver sees them."""
+
+    def add(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table["part"].to_pylist(), table["tokens"].to_pylist(), table["weights"].to_pylist()), key=lambda r: r[0])
+        total = sum(np.frombuffer(w, "<f4").astype(np.float64) * n for _, n, w in rows) / sum(n for _, n, _ in rows)
+        return pa.table({"part": pa.array([rows[0][0]], pa.int64()), "tokens": pa.array([sum(r[1] for r in rows)], pa.int64()), "weights": pa.array([total.astype("<f4").tobytes()], pa.binary())})
+
+    while (n := trained.count()) > fan_in:
+        groups = trained.groupBy((F.col("part") % (-(-n // fan_in))).alias("g"))
+        trained = materialise(groups.applyInArrow(lambda table: add(table), "part long, tokens long, weights binary"), "models")
+    rows = trained.collect()
+    if not rows:
+        return 0, None
+    one = add(pa.table({"part": [r["part"] for r in rows], "tokens": [r["tokens"] for r in rows], "weights": pa.array([bytes(r["weights"]) for r in rows], pa.binary())}))
+    return one["tokens"][0].as_py(), np.frombuffer(one["weights"][0].as_py(), "<f4")
+
+
+def fit(docs: DataFrame, vocabulary: Vocabulary, hidden: int = 32, warm_tokens: int = 1_200_000, passes: int = 2, rounds: int = 4) -> Model:
+    """Train on every document of ``docs(doc_id, text)``, whatever the size of the table.
+
+    The model starts from documents with about ``warm_tokens`` tokens, picked by a hash of id and text, so that the models
+    of the partitions lie close together. Then each partition trains on all its documents, in ``rounds`` parts by
+    hash; after each the models and their sums of squared gradients are averaged by tokens. ``trained_tokens`` is the
+    number of tokens of those rounds, which is all there are.
     """
     model = Model(vocabulary, hidden)
     model.end = vocabulary.head.get(END, 0)
+    model.trained_tokens = 0
     if not vocabulary.tokens:
         return model
     encoder = Encoder(vocabulary)
-    share = min(1.0, fit_tokens / vocabulary.tokens)
+    share = min(1.0, warm_tokens / vocabulary.tokens)
+    draw = lambda seed, n: F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.fromiter(map(encoder.__getitem__, words_of(t.as_py())), "<i4").tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("doc_id", "text")
-    rows = picked.mapInArrow(run, "doc_id long, ids binary").orderBy(F.xxhash64("doc_id", F.lit(1)), "ids").collect()  # about 4 bytes a token
-    stream = np.frombuffer(b"".join(bytes(r["ids"]) for r in rows), "<i4")[: 2 * fit_tokens]
-    model.final = train(model, stream, passes=passes)
+            yield pa.RecordBatch.from_arrays([pa.array([i.tobytes() for i in encoded(encoder, batch)], pa.binary()), batch.column(1)], ["ids", "place"])
+
+    picked = docs.where(draw(0, 1_000_000) < int(share * 1_000_000) + 1).select("text", F.xxhash64("doc_id", F.lit(1)).alias("place"))
+    rows = picked.mapInArrow(run, "ids binary, place long").orderBy("place", "ids").collect()  # about 4 bytes a token
+    memory = fresh_memory(model)
+    train(model, np.frombuffer(b"".join(bytes(r["ids"]) for r in rows), "<i4"), passes=passes, memory=memory)
+    del rows
+    sizes = np.cumsum([p.size for p in model.parameters() + memory])[:-1]
+
+    def flat(model: Model, memory: list[np.ndarray]) -> np.ndarray:
+        return np.concatenate([p.ravel() for p in model.parameters() + memory]).astype("<f4")
+
+    def load(model: Model, memory: list[np.ndarray], values: np.ndarray) -> None:
+        for p, v in zip(model.parameters() + memory, np.split(values, sizes)):
+            p[...] = v.reshape(p.shape)
+
+    for k in range(rounds):
+        sent = docs.sparkSession.sparkContext.broadcast((vocabulary, flat(model, memory)))
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            words, values = sent.value
+            own = Model(words, hidden)
+            own.end = words.head.get(END, 0)
+            sums = fresh_memory(own)
+            load(own, sums, values)
+            encode = Encoder(words)
+            tokens = train_all(own, (encoded(encode, batch) for batch in batches), sums)
+            if tokens:
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([tokens], pa.int64()), pa.array([flat(own, sums).tobytes()], pa.binary())], ["part", "tokens", "weights"])
+
+        some = docs.where(draw(2, rounds) == k).select("text")
+        tokens, values = mean_models(materialise(some.mapInArrow(part, "part long, tokens long, weights binary"), "models"))
+        if tokens:
+            load(model, memory, values)
+            model.trained_tokens += tokens
+        sent.destroy()
     return model
 
 
@@ -374,7 +463,7 @@ def logs(name: str, counts) -> dict[bytes, float]:
     return _LOGS[name]
 
 
-def score_documents(docs: DataFrame, head: int = 1552, hidden: int = 24, fit_tokens: int = 1_200_000, known_words: int = 262_144) -> DataFrame:
+def score_documents(docs: DataFrame, head: int = 1552, hidden: int = 24, warm_tokens: int = 1_200_000, known_words: int = 262_144) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row of ``docs(doc_id, text)``.
 
     Held out are rows whose crc32(doc_id) leaves 2 by 7 (a null id counts as empty text); the others are trained on.
@@ -387,7 +476,7 @@ def score_documents(docs: DataFrame, head: int = 1552, hidden: int = 24, fit_tok
     training = rows.where(~held_out(F.col("doc_id"), 7))
     counts = materialise(word_counts(training), "counts")
     vocabulary = Vocabulary.of(counts, head)
-    model = fit(training, vocabulary, hidden, fit_tokens)
+    model = fit(training, vocabulary, hidden, warm_tokens)
     encoder = Encoder(vocabulary)
     n_head, space = len(vocabulary.head), vocabulary.tokens + vocabulary.words + 1
     name = uuid.uuid4().hex

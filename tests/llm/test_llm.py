@@ -305,6 +305,26 @@ def test_language_model_is_a_distribution_and_its_base_is_exact(spark, odd, empt
     assert np.allclose(model.log_probability(h, np.arange(5)), model.outputs(h, np.arange(5)), atol=1e-4)
 
 
+def test_language_model_trains_on_every_document(spark):
+    rng = random.Random(13)
+    texts = [(k, " ".join(rng.choices(["one", "two", "three"], k=40))) for k in range(400)]
+    late = [(1000 + k, " ".join(["one two three"] * 14)) for k in range(400)]
+    frame = spark.createDataFrame(texts + late, "doc_id long, text string").repartition(5)
+    counts = language_model.word_counts(frame)
+    vocabulary = language_model.Vocabulary.of(counts, 10)
+    models = [language_model.fit(frame, vocabulary, 8, warm_tokens=most) for most in (100, 1_000_000)]
+    assert [m.trained_tokens for m in models] == [vocabulary.tokens] * 2  # beyond the start's tokens as below them
+    ids = [[language_model.Encoder(vocabulary)[w] for w in language_model.words_of(t)] for _, t in late[:20]]
+    scores = [language_model.score_batch(m, [np.array(x, np.int32) for x in ids]).sum() for m in models]
+    unigram = sum(np.log10(vocabulary.counts[i].sum() / vocabulary.tokens) for x in ids for i in x)
+    assert min(scores) > unigram
+    seen = []
+    model = language_model.Model(vocabulary, 8)
+    model.end = 0
+    model.train_window, whole = lambda x, y, h, run=model.train_window: (seen.append(x), run(x, y, h))[1], [np.arange(k, k + 50, dtype="<i4") % 4 for k in range(9)]
+    assert language_model.train_all(model, iter([whole]), language_model.fresh_memory(model), chunk=200) == 450 and sum(x.size for x in seen) >= 450 - 3 * 3
+
+
 def test_urls(spark):
     rows = [(1, "http://A.Example.ORG/es/1?x", ""), (2, "https://b.example.org/en/12", None), (3, "x://c.com/fr/", ""), (4, None, ""), (5, "no scheme", ""), (6, "http://bad.com/de/1", ""), (7, "http://bad.com/xx", ""), (8, "http://linker.net/", '<a href="http://bad.com/de/9">x</a>'), (9, "http://org", "")]
     found = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
