@@ -38,12 +38,13 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def host_trust(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 8) -> DataFrame:
+def host_trust(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-9) -> DataFrame:
     """``(host, trust, distrust)`` by personalised PageRank.
 
     ``seeds(host, trusted, blocked)``: trust starts at trusted hosts and follows links; distrust starts at blocked
     hosts and follows links backwards, to those who link to them. Each kind starts with one unit, shared evenly by
-    its seeds. After ``rounds`` rounds what is left undistributed is below damping ** rounds.
+    its seeds. Rounds go on until a kind's masses change by less than ``tolerance`` in total; each round shrinks the
+    change by ``damping`` at least, so that takes about log(tolerance) / log(damping) rounds, 128, whatever the graph.
     """
     kinds = F.explode(F.expr("filter(array(if(trusted, 'trust', null), if(blocked, 'distrust', null)), k -> k is not null)"))
     start = seeds.select("host", kinds.alias("kind"))
@@ -52,20 +53,22 @@ def host_trust(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds
     ways = edges.select("src", "dst", "weight", F.lit("trust").alias("kind")).union(edges.select(F.col("dst"), F.col("src"), "weight", F.lit("distrust")))
     out = ways.groupBy("src", "kind").agg(F.sum("weight").alias("total"))
     ways = materialise(ways.join(out, ["src", "kind"]).select(F.col("src").alias("host"), "kind", "dst", (F.col("weight") / F.col("total")).alias("part")), "ways")
-    rank, previous = start.select("host", "kind", F.col("seed").alias("mass")), None
-    if ways.isEmpty():
-        rounds = 0  # nothing spreads; every round would give the seeds back
-    for _ in range(rounds):
+    rank = materialise(start.select("host", "kind", F.col("seed").alias("mass")), "rank")
+    base = start.select("host", "kind", ((1 - damping) * F.col("seed")).alias("mass"))
+    moved = 0.0 if ways.isEmpty() else 1.0  # if nothing spreads, every round would give the seeds back
+    while moved >= tolerance:
         flow = rank.join(ways, ["host", "kind"]).select(F.col("dst").alias("host"), "kind", (damping * F.col("mass") * F.col("part")).alias("mass"))
-        base = start.select("host", "kind", ((1 - damping) * F.col("seed")).alias("mass"))
-        rank = materialise(flow.unionByName(base).groupBy("host", "kind").agg(F.sum("mass").alias("mass")), "rank")
-        drop_table(previous)
-        previous = rank
+        terms = flow.unionByName(base).withColumn("old", F.lit(0.0)).unionByName(rank.select("host", "kind", F.lit(0.0).alias("mass"), F.col("mass").alias("old")))
+        following = materialise(terms.groupBy("host", "kind").agg(F.sum("mass").alias("mass"), F.sum("old").alias("old")), "rank")
+        moved = following.agg(F.coalesce(F.sum(F.abs(F.col("mass") - F.col("old"))), F.lit(0.0))).first()[0]
+        drop_table(rank)
+        rank = following.select("host", "kind", "mass")
+        rank._grainmill_path = following._grainmill_path
     value = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("mass"))), F.lit(0.0)).alias(kind)
     return rank.groupBy("host").agg(value("trust"), value("distrust"))
 
 
-def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 0.0, damping: float = 0.85, rounds: int = 8) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 0.0, damping: float = 0.85, tolerance: float = 1e-9) -> DataFrame:
     """``(page_id, host, path, rule, verdict)`` for every row of ``pages(page_id, url, html)``.
 
     A rule decides where one fits. Other urls go by their host: blocked if its distrust exceeds its trust by more than
@@ -78,7 +81,7 @@ def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 0.0, damping: f
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     urls = urls.select("*", rule.alias("rule"), said.alias("said"))
     votes = urls.where("host <> '' and said is not null").groupBy("host").agg(F.sum(F.when(F.col("said") == "allow", 1).otherwise(-1)).alias("vote"))
-    scores = host_trust(votes.select("host", (F.col("vote") > 0).alias("trusted"), (F.col("vote") < 0).alias("blocked")), host_edges(pages), damping, rounds)
+    scores = host_trust(votes.select("host", (F.col("vote") > 0).alias("trusted"), (F.col("vote") < 0).alias("blocked")), host_edges(pages), damping, tolerance)
     bad = scores.where(F.col("distrust") - F.col("trust") > threshold).select(F.col("host").alias("bad_host"))
     judged = urls.join(bad, urls["host"] == bad["bad_host"], "left")
     verdict = F.coalesce("said", F.when(F.col("bad_host").isNotNull(), "block").otherwise("allow"))

@@ -334,3 +334,10 @@ def test_urls(spark):
     assert found[4] == ("", "", None, "allow") == found[5]
     assert found[7] == ("bad.com", "/xx", None, "block") and found[8] == ("linker.net", "/", None, "block")
     assert found[9] == ("org", "", None, "allow")
+
+
+def test_distrust_reaches_the_end_of_a_chain(spark):
+    seeds = spark.createDataFrame([("h0", False, True)], "host string, trusted boolean, blocked boolean")
+    edges = spark.createDataFrame([(f"h{k + 1}", f"h{k}", 1) for k in range(12)], "src string, dst string, weight long")
+    found = {r["host"]: r["distrust"] for r in url_filter.host_trust(seeds, edges).collect()}
+    assert all(abs(found[f"h{k}"] - 0.15 * 0.85**k) < 1e-8 for k in range(13))
