@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import re
+import struct
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 CACHE_WORDS = 100_000
 LONG = 1_000_000
+PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
 
 def tokenizer_path(name: str) -> str:
@@ -44,13 +49,14 @@ EXOTIC_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u20
 class _Units(dict):
     """Unit of text, after ``lead`` -> its ids as little-endian unsigned 32-bit bytes."""
 
-    plain = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=?@\[-`{}~]*)")
+    plain = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=?@\[-`{}~]*)").fullmatch
 
     def __init__(self, tokenizer, lead: str, keeps_space: bool):
         self.tokenizer, self.model, self.lead, self.keeps_space = tokenizer, tokenizer.model, lead, keeps_space
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in shown]
         self.table = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+        self.shown_lead, self.tokenize = lead.translate(self.table), self.model.tokenize
         self.newline = self.direct("\n")
         self.old: dict[str, bytes] = {}
         self.bare = _Units(tokenizer, "", keeps_space) if lead else self
@@ -59,28 +65,29 @@ class _Units(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def word(self, text: str) -> bytes:
-        spelled = (self.lead + text if self.keeps_space else text.lower()).encode().decode("latin1").translate(self.table)
-        return np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+        if not self.keeps_space:
+            text = text.lower()
+        spelled = self.shown_lead + text if text.isascii() else (self.lead + text).encode().decode("latin1").translate(self.table)
+        ids = [t.id for t in self.tokenize(spelled)]
+        return PACK[len(ids)](*ids) if len(ids) < len(PACK) else np.array(ids, "<u4").tobytes()
 
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.old = dict(self)
             self.clear()
-        if (ids := self.old.get(unit)) is not None:
-            self[unit] = ids
-            return ids
-        m = self.plain.fullmatch(unit)
-        if m:
-            ids = self[m[1]] + self.bare[m[2]] if m[2] else self.word(unit)
-        elif "\n" in unit and all(p and not p[0].isspace() and not p[-1].isspace() for p in unit.split("\n")):
-            first, *others = unit.split("\n")
-            ids = self.newline.join([self[first], *(self.bare[p] for p in others)])
-        else:
-            ids = self.direct(self.lead + unit)
+        ids = self.old.get(unit)
+        if ids is None:
+            m = self.plain(unit)
+            if m:
+                ids = self[m[1]] + self.bare[m[2]] if m[2] else self.word(unit)
+            elif "\n" in unit and all(p and not p[0].isspace() and not p[-1].isspace() for p in unit.split("\n")):
+                first, *others = unit.split("\n")
+                return self.newline.join([self[first], *(self.bare[p] for p in others)])  # seldom seen again
+            else:
+                ids = self.direct(self.lead + unit)
         self[unit] = ids
         return ids
 
-
 class UnitTokenizer:
     """A byte-level tokenizer of the tokenizers library that encodes each distinct word once.
 
@@ -114,15 +121,75 @@ class UnitTokenizer:
         return b"".join([*ids, cache[first], *map(self.cache.__getitem__, others)])
 
 
-_LOADED: dict[tuple[str, bool], UnitTokenizer] = {}
+_KEPT: dict = {}
+
+
+def kept(key, make: Callable):
+    """A thing that this Python worker keeps for its next task; what it kept for another purpose is let go first."""
+    if key not in _KEPT:
+        release()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Let go of what the worker keeps, and give freed memory back to the system."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+    trim()
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library keeps freed memory in its own way
+        pass
+
+
+def lean(run: Callable, keeps: bool = False) -> Callable:
+    """A partition function whose task starts without what other operators left in the worker, and gives memory back.
+
+    Workers outlive their tasks and serve several operators, so what each leaves would add up. ``keeps``: the function
+    asks ``kept`` for things itself.
+    """
+
+    def wrapped(batches: Iterator) -> Iterator:
+        if not keeps:
+            release()
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
 
 
 def unit_tokenizer(path: str, keeps_space: bool) -> UnitTokenizer:
     """One tokenizer per Python worker."""
-    if (path, keeps_space) not in _LOADED:
-        _LOADED[path, keeps_space] = UnitTokenizer(path, keeps_space)
-        gc.freeze()
-    return _LOADED[path, keeps_space]
+    return kept((path, keeps_space), lambda: UnitTokenizer(path, keeps_space))
+
+
+def marked(hashes: DataFrame, n: int, most_bits: int = 1 << 28) -> tuple[np.ndarray, int]:
+    """A bitmap in which the hashes (longs) of a one-column table are marked, and its number of bits.
+
+    About 16 bits for each of the n hashes, up to ``most_bits`` (32 MB), so a broadcast of it is bounded. It lets some
+    others through, more of them the more there are; whoever uses it must undo that by a join.
+    """
+    bits = 1 << min(most_bits.bit_length() - 1, max(16, (16 * n).bit_length()))
+    at = F.pmod(hashes[hashes.columns[0]], F.lit(bits))
+    rows = hashes.select((at / 32768).cast("long").alias("bucket"), (at % 32768).alias("bit"))
+    bitmap = np.zeros(bits // 8, np.uint8)
+    for r in rows.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("octets")).collect():  # most_bits / 8 bytes at most
+        bitmap[r["bucket"] * 4096 : r["bucket"] * 4096 + len(r["octets"])] = np.frombuffer(bytes(r["octets"]), np.uint8)
+    return bitmap, bits
+
+
+def is_marked(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Which of those hashes are marked, and a few that aren't."""
+    at = hashes & (bits - 1)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def text_slices(texts: list[str], most_bytes: int = 4_000_000):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import unit_tokenizer
+from grainmill.llm.common import lean, unit_tokenizer
 from grainmill.plans.shared import materialise
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_()), ("task", pa.int64())])
@@ -129,7 +129,7 @@ def pack(docs: DataFrame, tokenizer: str, keeps_space: bool = True, end_id: int
         return run
 
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    placed = materialise(docs.mapInArrow(place, DDL), "pack")
+    placed = materialise(docs.mapInArrow(lean(place, keeps=True), DDL), "pack")
     done, level = placed.where("not open"), 0
     tasks = placed.where("open").agg(F.max("task")).first()[0]
     leftovers = placed.where("open")

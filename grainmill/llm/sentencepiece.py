@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from grainmill.llm.common import kept, lean, text_slices
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BATCH_CHARS = 1_000_000
@@ -285,14 +287,9 @@ class Encoder:
         return text[1:] if self.vocabulary.prefix and text[:1] == " " else text
 
 
-_LOADED: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One per Python worker."""
-    if path not in _LOADED:
-        _LOADED[path] = Encoder(path)
-    return _LOADED[path]
+    return kept(path, lambda: Encoder(path))
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -303,8 +300,6 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from grainmill.llm.common import text_slices
-
         own = encoder(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -313,7 +308,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], ["doc_id", "ids", "n_ids"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids binary, n_ids long")
+    return rows.mapInArrow(lean(run, keeps=True), "doc_id long, ids binary, n_ids long")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -329,4 +324,4 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     from pyspark.sql.types import StringType, StructType
 
     schema = StructType([*encoded.schema.fields])
-    return encoded.mapInArrow(run, schema.add("decoded", StringType()))
+    return encoded.mapInArrow(lean(run, keeps=True), schema.add("decoded", StringType()))

@@ -14,7 +14,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import unit_tokenizer
+from grainmill.llm.common import lean, unit_tokenizer
 from grainmill.plans.shared import materialise, shared_dir
 
 MAGIC = b"GMPLANE1"
@@ -160,7 +160,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, kee
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
-    shards = materialise(ordered.mapInArrow(write, "path string, shard long, n_docs long, n_tokens long"), "shards")
+    shards = materialise(ordered.mapInArrow(lean(write, keeps=True), "path string, shard long, n_docs long, n_tokens long"), "shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard, not per document
     return shards.withColumn("first_token", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
@@ -183,7 +183,7 @@ def read_tokens(shards: DataFrame) -> DataFrame:
                 yield _rows(held)
 
     n = max(1, shards.count())
-    return shards.select("path", "first_token").repartition(n, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return shards.select("path", "first_token").repartition(n, "path").mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _rows(held: list[tuple]) -> pa.RecordBatch:

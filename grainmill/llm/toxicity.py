@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import held_out
+from grainmill.llm.common import held_out, lean
 from grainmill.plans.shared import materialise
 
 STRIP = "\"'`.,;:!?()[]{}<>*#&%$|~^+=_-/\\«»‘’“”¿¡"
@@ -233,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, support:
             term, context, clean = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(context, pa.int64()), pa.array(clean, pa.int64())], ["term", "context", "clean"])
 
-    counts = sample.select("toxic", "text").mapInArrow(count, "term string, context long, clean long")
+    counts = sample.select("toxic", "text").mapInArrow(lean(count), "term string, context long, clean long")
     counts = counts.groupBy("term", "context").agg(F.sum("clean").alias("clean"))
     counts = counts.groupBy("term").agg(F.count(F.when(F.col("context") >= 0, 1)).alias("bad"), F.sum("clean").alias("clean"))
     good_enough = (F.col("bad") >= support) & (F.col("bad") >= precision * (F.col("bad") + F.col("clean")))
@@ -252,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, support:
             flat = [[[h[0], h[1], str(h[2]), str(int(h[3]))] for h in f] for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(flat, pa.list_(pa.list_(pa.string())))], ["doc_id", "toxic", "hits"])
 
-    seen = sample.mapInArrow(look, "doc_id long, toxic int, hits array<array<string>>").collect()  # a row per sampled document
+    seen = sample.mapInArrow(lean(look), "doc_id long, toxic int, hits array<array<string>>").collect()  # a row per sampled document
     seen.sort(key=lambda r: r["doc_id"])
     parsed = [(r["doc_id"] // 2 % 2, int(r["toxic"] > 0), [(a, b, int(e), q == "1") for a, b, e, q in r["hits"]]) for r in seen]
 
@@ -287,7 +287,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
                 numbers.append(len(found))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(numbers, pa.int32())], ["doc_id", "score", "n_hits"])
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, "doc_id long, score double, n_hits int")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(lean(run), "doc_id long, score double, n_hits int")
     return rows.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_hits")
 
 
@@ -305,4 +305,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Da
                 keep.append(1 / (1 + np.exp(-np.clip(z, -30, 30))) < threshold)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(verdict, docs.schema)
+    return docs.mapInArrow(lean(verdict), docs.schema)

@@ -144,14 +144,6 @@ def test_substring_dedup_finds_planted_passages(spark):
     assert all(cut[k] == texts[k] for k in range(40) if k not in (11, 25)) and passage not in cut[11]
 
 
-def test_similar_pairs_against_all_pairs():
-    rng = np.random.default_rng(1)
-    base = [rng.choice(400, 30, replace=False) for _ in range(15)]
-    sets = [np.unique(np.where(rng.random(30) < 0.07, rng.integers(0, 400, 30), b)).astype(np.uint64) for b in base for _ in range(6)]
-    expected = {(j, i) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9}
-    assert set(substring_dedup.similar_pairs(sets, 0.8)) == expected
-
-
 def test_substring_dedup_odd(spark, odd, empty):
     assert substring_dedup.repeated_passages(odd).count() == 0
     assert substring_dedup.remove_passages(odd).count() == len(ODD)

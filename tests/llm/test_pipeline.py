@@ -15,8 +15,7 @@ def prose(rng, n):
 
 
 def groups(texts: dict[int, str]) -> dict[int, int]:
-    """The smallest id that links by fingerprint and Jaccard similarity reach, over all pairs."""
-    prints = {k: simhash.majority(simhash.shingle_hashes(t, 5)) % (1 << 64) for k, t in texts.items()}
+    """The smallest id that links by Jaccard similarity reach, over all pairs."""
     sets = {k: set(simhash.shingle_hashes(t, 5).tolist()) for k, t in texts.items()}
     parent = {k: k for k in texts}
 
@@ -28,7 +27,7 @@ def groups(texts: dict[int, str]) -> dict[int, int]:
     ids = sorted(texts)
     for i, a in enumerate(ids):
         for b in ids[:i]:
-            same = prints[a] == prints[b] or ((prints[a] ^ prints[b]).bit_count() <= 12 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+            same = len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
             if same:
                 p, q = find(a), find(b)
                 parent[max(p, q)] = min(p, q)
