@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
 import xxhash
 
+try:
+    from _md5 import md5  # for short inputs faster than hashlib's
+except ImportError:
+    from hashlib import md5
+
 PRIME = (1 << 31) - 1
 
 
-def portable_hash(token: bytes) -> int:
-    """A 31-bit hash that SQL engines can compute too."""
-    return int(hashlib.md5(token).hexdigest()[:15], 16) % PRIME
+def portable_hashes(tokens: Iterable[str]) -> np.ndarray:
+    """60-bit hashes that SQL engines can compute too: the first 15 hex digits of the md5."""
+    digests = b"".join([md5(t.encode("utf-8", "surrogatepass")).digest() for t in tokens])
+    return (np.frombuffer(digests, ">u8")[::2] >> np.uint64(4)).astype(np.int64)
 
 
 @lru_cache
@@ -29,13 +35,19 @@ def permutations(count: int, seed: int = 42) -> tuple[tuple[int, int], ...]:
 
 
 def minhash(hashes: np.ndarray, count: int, seed: int = 42) -> np.ndarray:
-    """The least permuted hash under each permutation; PRIME for no hashes."""
-    if not len(hashes):
-        return np.full(count, PRIME, np.int64)
-    a, b = np.array(permutations(count, seed), np.int64).T
+    """The least permuted hash under each permutation; PRIME for no hashes. Hashes lie below PRIME."""
     out = np.full(count, PRIME, np.int64)
-    for k in range(0, len(hashes), 4096):
-        out = np.minimum(out, ((hashes[k : k + 4096, None] * a + b) % PRIME).min(0))
+    a, b = np.array(permutations(count, seed), np.int64).T
+    prime = np.int64(PRIME)
+    for k in range(0, len(hashes), 256):  # a piece stays in the cache
+        x = hashes[k : k + 256, None] * a
+        x += b
+        for _ in range(2):  # 2**31 is 1 modulo PRIME
+            high = x >> 31
+            x &= prime
+            x += high
+        x -= prime * (x >= prime)
+        np.minimum(out, x.min(0), out=out)
     return out
 
 

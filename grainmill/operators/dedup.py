@@ -6,16 +6,17 @@ the id, and ignore other columns. Null texts count as empty. Ids are unique.
 
 from __future__ import annotations
 
-import re
+import re as stdlib_re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex as re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainmill.functions import text as T
-from grainmill.functions.hashing import lsh_parameters, minhash, portable_hash
+from grainmill.functions.hashing import PRIME, lsh_parameters, minhash, portable_hashes
 from grainmill.plans.components import connected_components
 from grainmill.plans.shared import drop_table, materialise
 
@@ -46,51 +47,79 @@ def bloom_duplicates(docs: DataFrame) -> DataFrame:
     return exact_duplicates(docs, F.col("text")).select("id", "duplicate")
 
 
-# MinHash
+# Runs of words and MinHash
 
-_SPLIT = re.compile(r"[^\w]+")
+_WORD = re.compile(r"[\p{L}\p{M}\p{N}_]+")
+_PLAIN = stdlib_re.compile(r"\w+", stdlib_re.ASCII)
 
 
-def signatures(docs: DataFrame, permutations: int = 128, n: int = 3, min_length: int = 5, seed: int = 42) -> DataFrame:
-    """``(id, signature)`` of texts with ``min_length`` words or more, over distinct runs of n words."""
+def gram_sets(docs: DataFrame, n: int = 3, permutations: int = 0, seed: int = 42, fingerprint: bool = False) -> DataFrame:
+    """``(id, digest, words, grams, signature, fingerprint)`` of every row, in one pass over the texts.
+
+    digest is that of the normalised text, words the number of words, grams the 60-bit hashes of the distinct runs of n
+    words (of all words if there are fewer), ascending. signature has the least permuted hashes, null for no words or
+    ``permutations=0``; fingerprint per bit the majority over the grams, ties 0, null unless asked for.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, int] = {}
         for batch in batches:
-            rows = []
-            for grams in batch.column(1).to_pylist():
-                if len(cache) > 500_000:
-                    cache.clear()
-                for g in grams:
-                    if g not in cache:
-                        cache[g] = portable_hash(g.encode())
-                rows.append(minhash(np.fromiter((cache[g] for g in grams), np.int64, len(grams)), permutations, seed))
-            flat = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(flat, permutations).cast(pa.list_(pa.int64()))], ["id", "signature"])
+            sizes, sets, signed, prints = [], [], [], []
+            for text in batch.column(2).to_pylist():
+                words = (_PLAIN if text.isascii() else _WORD).findall(text)
+                runs = set(map(" ".join, zip(*(words[k:] for k in range(n))))) if len(words) >= n else {" ".join(words)} if words else ()
+                hashes = np.sort(portable_hashes(runs))
+                sizes.append(len(words))
+                sets.append(hashes)
+                if permutations:
+                    signed.append(minhash(hashes % PRIME, permutations, seed) if words else None)
+                if fingerprint:
+                    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+                    prints.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0]))
+            longs = pa.list_(pa.int64())
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+            blank = pa.nulls(batch.num_rows, longs)
+            signature = pa.array(signed, longs) if permutations else blank
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), grams, signature, pa.array(prints, pa.int64()) if fingerprint else pa.nulls(batch.num_rows, pa.int64())], ["id", "digest", "words", "grams", "signature", "fingerprint"])
+
+    rows = id_text(docs).select(F.col("id").cast("long").alias("id"), T.content_hash(T.normalize(F.col("text"))).alias("digest"), F.lower("text").alias("text"))
+    return rows.mapInArrow(run, "id long, digest string, words int, grams array<long>, signature array<long>, fingerprint long")
+
 
-    rows = id_text(docs).select(F.col("id").cast("long").alias("id"), T.shingle_set(F.col("text"), n, min_length).alias("grams"))
-    return rows.where(F.size("grams") > 0).mapInArrow(run, "id long, signature array<long>")
+def signatures(docs: DataFrame, permutations: int = 128, n: int = 3, min_length: int = 5, seed: int = 42) -> DataFrame:
+    """``(id, signature)`` of texts with ``min_length`` words or more, over distinct runs of n words."""
+    return gram_sets(docs, n, permutations, seed).where(F.col("words") >= max(min_length, 1)).select("id", "signature")
 
 
 def bands(signed: DataFrame, count: int, rows: int) -> DataFrame:
     """``(id, band, value)``: the signature's bands."""
-    cut = F.array(*(F.struct(F.lit(b).alias("band"), F.md5(F.array_join(F.slice("signature", b * rows + 1, rows).cast("array<string>"), ",")).alias("value")) for b in range(count)))
-    return signed.select("id", F.explode(cut).alias("b")).select("id", "b.band", "b.value")
+    cut = F.array(*(F.xxhash64(F.slice("signature", b * rows + 1, rows)) for b in range(count)))
+    return signed.select("id", F.posexplode(cut).alias("band", "value"))
 
 
 def signature_classes(signed: DataFrame) -> DataFrame:
     """``(id, class)``: the smallest id with the same signature, so that copies are compared once."""
-    keyed = signed.select("id", F.md5(F.array_join(F.col("signature").cast("array<string>"), ",")).alias("key"))
+    keyed = signed.select("id", F.md5(F.array_join(F.col("signature").cast("array<string>"), ",")).alias("key"))  # wide enough for all pairs of all rows
     return keyed.join(keyed.groupBy("key").agg(F.min("id").alias("class")), "key").select("id", "class")
 
 
-def candidate_pairs(signed: DataFrame, threshold: float = 0.8, permutations: int = 128) -> DataFrame:
-    """``(a, b)``, a < b: different signatures, by their smallest ids, that share a band."""
+def candidate_pairs(signed: DataFrame, threshold: float = 0.8, permutations: int = 128, classes: bool = True, most: int = 1024) -> DataFrame:
+    """``(a, b)``, a < b: rows with different signatures that share a band, or all rows without ``classes``.
+
+    Of equal signatures the smallest id stands for all. A band value that more than ``most`` rows have is cut into
+    blocks of rows, and each pair of blocks is a key of its own in the join.
+    """
     count, rows = lsh_parameters(threshold, permutations)
-    classes = signature_classes(signed).where("id = class").select("id")
-    banded = bands(signed.join(classes, "id"), count, rows)
-    right = banded.select(F.col("id").alias("b"), "band", "value")
-    return banded.withColumnRenamed("id", "a").join(right, ["band", "value"]).where("a < b").select("a", "b").distinct()
+    if classes:
+        signed = signed.join(signature_classes(signed).where("id = class").select("id"), "id", "left_semi")
+    banded = materialise(bands(signed, count, rows), "bands")
+    sizes = banded.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value", F.ceil(F.col("n") / most).cast("int").alias("blocks"))
+    shared = banded.join(sizes, ["band", "value"]).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    spread = shared.select("id", "band", "value", "own", other.alias("other")).select("id", "band", "value", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    left, right = spread.where("own = i").withColumnRenamed("id", "a"), spread.where("own = j").select(F.col("id").alias("b"), "band", "value", "i", "j")
+    pairs = left.join(right, ["band", "value", "i", "j"]).where("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def minhash_clusters(signed: DataFrame, threshold: float = 0.8, permutations: int = 128) -> DataFrame:
@@ -106,9 +135,16 @@ def minhash_clusters(signed: DataFrame, threshold: float = 0.8, permutations: in
 
 
 def similarities(docs: DataFrame, pairs: DataFrame, n: int = 3, min_length: int = 1) -> DataFrame:
-    """``(a, b, similarity)`` of pairs of ids, by distinct runs of n words."""
-    sets = id_text(docs).select("id", T.shingle_set(F.col("text"), n, min_length).alias("grams"))
-    a, b = sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
+    """``(a, b, similarity)`` of pairs of ids, by distinct runs of n words, given by 60-bit hashes."""
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = materialise(gram_sets(docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi"), n), "sets")
+    return set_similarities(sets, pairs, min_length)
+
+
+def set_similarities(sets: DataFrame, pairs: DataFrame, min_length: int = 1) -> DataFrame:
+    """The same of ``sets(id, words, grams)``."""
+    grams = F.when(F.col("words") >= max(min_length, 1), F.col("grams")).otherwise(F.array().cast("array<long>"))
+    a, b = sets.select(F.col("id").alias("a"), grams.alias("x")), sets.select(F.col("id").alias("b"), grams.alias("y"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", T.jaccard(F.col("x"), F.col("y")).alias("similarity"))
 
 
@@ -152,21 +188,13 @@ def estimate(a: Column, b: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, n: int = 3, min_length: int = 5, keep_short: bool = False) -> DataFrame:
-    """``(id, fingerprint)``: per bit the majority over distinct runs of n words of 60 bits of their md5; ties are 0."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
-        for batch in batches:
-            out = []
-            for grams in batch.column(1).to_pylist():
-                h = np.fromiter((int(hashlib.md5(g.encode()).hexdigest()[:15], 16) for g in grams), "<u8", len(grams))
-                ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-                out.append(int(np.packbits(2 * ones > len(grams), bitorder="little").view("<i8")[0]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], ["id", "fingerprint"])
+    """``(id, fingerprint)``: per bit the majority over distinct runs of n words of 60 bits of their md5; ties are 0.
 
-    rows = id_text(docs).select(F.col("id").cast("long").alias("id"), T.shingle_set(F.col("text"), n, min_length).alias("grams"))
-    return (rows if keep_short else rows.where(F.size("grams") > 0)).mapInArrow(run, "id long, fingerprint long")
+    Texts of fewer than ``min_length`` words are left out, or have the fingerprint 0 with ``keep_short``.
+    """
+    sets = gram_sets(docs, n, fingerprint=True)
+    long = F.col("words") >= max(min_length, 1)
+    return sets.select("id", F.when(long, F.col("fingerprint")).otherwise(0).alias("fingerprint")) if keep_short else sets.where(long).select("id", "fingerprint")
 
 
 def fingerprint_pairs(prints: DataFrame, bits: int = 3, buckets: int = 4, width: int = 60) -> DataFrame:
@@ -203,12 +231,16 @@ def fingerprint_clusters(prints: DataFrame, bits: int = 3, buckets: int = 4, doc
 
 def best_matches(probes: DataFrame, index: DataFrame, threshold: float, permutations: int = 128, n: int = 3) -> DataFrame:
     """``(id, match, similarity)``: the most similar index row of each probe at ``threshold`` or more, ties to the smaller id."""
+    return best_set_matches(materialise(gram_sets(probes, n, permutations), "probes"), materialise(gram_sets(index, n, permutations), "index"), threshold, permutations)
+
+
+def best_set_matches(probes: DataFrame, index: DataFrame, threshold: float, permutations: int = 128) -> DataFrame:
+    """The same of tables that ``gram_sets`` made."""
     count, rows = lsh_parameters(threshold, permutations)
-    left = bands(signatures(probes, permutations, n, 1), count, rows)
-    right = bands(signatures(index, permutations, n, 1), count, rows).withColumnRenamed("id", "match")
+    left = bands(probes.where("words > 0"), count, rows)
+    right = bands(index.where("words > 0"), count, rows).withColumnRenamed("id", "match")
     pairs = left.join(right, ["band", "value"]).select("id", "match").distinct()
-    x = id_text(probes).select("id", T.shingle_set(F.col("text"), n).alias("x"))
-    y = id_text(index).select(F.col("id").alias("match"), T.shingle_set(F.col("text"), n).alias("y"))
+    x, y = probes.select("id", F.col("grams").alias("x")), index.select(F.col("id").alias("match"), F.col("grams").alias("y"))
     scored = pairs.join(x, "id").join(y, "match").select("id", "match", T.jaccard(F.col("x"), F.col("y")).alias("similarity"))
     best = scored.where(F.col("similarity") >= threshold).groupBy("id").agg(F.max(F.struct("similarity", (-F.col("match")).alias("m"))).alias("b"))
     return best.select("id", (-F.col("b.m")).alias("match"), F.col("b.similarity").alias("similarity"))
@@ -216,10 +248,14 @@ def best_matches(probes: DataFrame, index: DataFrame, threshold: float, permutat
 
 def contaminated(docs: DataFrame, reference: DataFrame, threshold: float = 0.8, n: int = 3) -> DataFrame:
     """``(id, match, similarity)``: documents that equal a reference text after normalising (1.0), else the best near match."""
-    x = id_text(docs).select("id", T.content_hash(T.normalize(F.col("text"))).alias("digest"))
-    y = id_text(reference).select(T.content_hash(T.normalize(F.col("text"))).alias("digest"), "id").groupBy("digest").agg(F.min("id").alias("match"))
-    exact = x.join(y, "digest").select("id", "match", F.lit(1.0).alias("similarity"))
-    near = best_matches(docs, reference, threshold, n=n)
+    return contaminated_sets(materialise(gram_sets(docs, n, 128), "sets"), materialise(gram_sets(reference, n, 128), "reference"), threshold)
+
+
+def contaminated_sets(docs: DataFrame, reference: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """The same of tables that ``gram_sets`` made."""
+    y = reference.groupBy("digest").agg(F.min("id").alias("match"))
+    exact = docs.select("id", "digest").join(y, "digest").select("id", "match", F.lit(1.0).alias("similarity"))
+    near = best_set_matches(docs, reference, threshold)
     return exact.unionByName(near.join(exact.select("id"), "id", "left_anti"))
 
 
@@ -236,47 +272,69 @@ def contained(docs: DataFrame, reference: DataFrame, share: float = 0.8, n: int
     return counts.where(F.col("n") / F.col("size") >= share).select("id", "match", (F.col("n") / F.col("size")).alias("share"))
 
 
-def keep_first(rows: DataFrame, edges: DataFrame) -> DataFrame:
+def keep_first(rows: DataFrame, edges: DataFrame, most_at_once: int = 200_000) -> DataFrame:
     """``(id, kept)``: in order of id, a row is kept if no kept row before it is its neighbour.
 
-    ``rows(id)`` and ``edges(a, b)``, a < b. A row is decided once one of its earlier neighbours is kept (it is
-    dropped) or all of them are dropped (it is kept); rounds go on until all are. Rows without earlier neighbours are
-    kept at once, so only rows of the edges take part.
+    ``rows(id)`` and ``edges(a, b)``, a < b. Up to ``most_at_once`` edges are decided by one task, in order. With more, a
+    row is decided once one of its earlier neighbours is kept (it is dropped) or all of them are dropped (it is kept),
+    in rounds until few edges are open. Rows without earlier neighbours are kept at once, so only rows of the edges
+    take part.
     """
-    edges = materialise(edges.select("a", "b").distinct(), "edges")
+    edges = materialise(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).distinct(), "edges")
     later = edges.select(F.col("b").alias("id")).distinct()
     state = materialise(later.select("id", F.lit(None).cast("boolean").alias("kept")), "state")
-    while not state.where("kept is null").isEmpty():
-        known = edges.join(state.select(F.col("id").alias("a"), "kept", F.lit(True).alias("listed")), "a", "left")
-        known = known.select("b", F.when(F.col("listed").isNull(), True).otherwise(F.col("kept")).alias("kept"))
-        seen = known.groupBy("b").agg(F.max(F.coalesce(F.col("kept"), F.lit(False))).alias("any_kept"), F.max(F.col("kept").isNull()).alias("open"))
-        following = state.join(seen, state["id"] == seen["b"]).select("id", F.coalesce("kept", F.when(F.col("any_kept"), False).when(~F.col("open"), True)).alias("kept"))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, bool] = {}
+        fixed: dict[int, bool] = {}
+        for batch in batches:
+            for b, own, a, theirs in zip(*(c.to_pylist() for c in batch.columns)):
+                if own is not None:
+                    fixed[b] = own
+                else:
+                    kept[b] = kept.get(b, True) and not (kept.get(a, True) if theirs is None else theirs)
+        yield pa.RecordBatch.from_arrays([pa.array(list(fixed | kept), pa.int64()), pa.array(list((fixed | kept).values()), pa.bool_())], ["id", "kept"])
+
+    while True:
+        open_ = state.where("kept is null")
+        told = edges.join(open_.select(F.col("id").alias("b")), "b", "left_semi").join(state.select(F.col("id").alias("a"), F.col("kept").alias("theirs"), F.lit(True).alias("listed")), "a", "left")
+        told = told.select("b", F.lit(None).cast("boolean").alias("own"), "a", F.when(F.col("listed").isNull(), True).otherwise(F.col("theirs")).alias("theirs"))
+        n = told.count()
+        if n <= most_at_once:
+            ended = told.coalesce(1).sortWithinPartitions("b", "a").mapInArrow(finish, "id long, kept boolean") if n else open_
+            following = materialise(state.where("kept is not null").unionByName(ended), "state")
+            drop_table(state)
+            state = following
+            break
+        seen = told.groupBy("b").agg(F.max(F.coalesce(F.col("theirs"), F.lit(False))).alias("any_kept"), F.max(F.col("theirs").isNull()).alias("open"))
+        following = state.join(seen, state["id"] == seen["b"], "left").select("id", F.coalesce("kept", F.when(F.col("any_kept"), False).when(~F.col("open"), True)).alias("kept"))
         following = materialise(following, "state")
         drop_table(state)
         state = following
     return rows.join(state, "id", "left").select("id", F.coalesce("kept", F.lit(True)).alias("kept"))
 
 
-def decisions(docs: DataFrame, reference: DataFrame, threshold: float = 0.8, reference_threshold: float = 0.8, n: int = 3) -> DataFrame:
+def decisions(docs: DataFrame, reference: DataFrame, threshold: float = 0.8, reference_threshold: float = 0.8, n: int = 3, permutations: int = 128, seed: int = 42, near: bool = True) -> DataFrame:
     """``(id, reason, match, similarity)`` for every document: contaminated, exact_duplicate, near_duplicate or kept.
 
     Documents are compared with kept ones before them. Of each digest only the first uncontaminated row is compared
     with others; its copies are exact duplicates of it if it is kept, else near-duplicates of what it is near to.
-    The match is the most similar kept row before it, ties to the smaller id.
+    The match is the most similar kept row before it, ties to the smaller id. Without ``near`` only digests count.
     """
-    bad = materialise(contaminated(docs, reference, reference_threshold, n), "contaminated")
-    clean = id_text(docs).withColumn("id", F.col("id").cast("long")).join(bad.select("id"), "id", "left_anti")
-    digests = materialise(clean.select("id", T.content_hash(T.normalize(F.col("text"))).alias("digest")), "digests")
+    sets = materialise(gram_sets(docs, n, permutations, seed), "sets")
+    known = materialise(gram_sets(reference, n, permutations, seed), "reference")
+    bad = materialise(contaminated_sets(sets, known, reference_threshold), "contaminated")
+    clean = sets.join(bad.select("id"), "id", "left_anti")
+    digests = clean.select("id", "digest")
     first = digests.groupBy("digest").agg(F.min("id").alias("first"))
     digests = digests.join(first, "digest").select("id", "first")
-    reps = clean.join(first.select(F.col("first").alias("id")), "id").select(F.col("id").alias("doc_id"), "text")
-    signed = materialise(signatures(reps, 128, n, 1), "signatures")
-    count, rows = lsh_parameters(threshold, 128)
-    banded = bands(signed, count, rows)
-    right = banded.select(F.col("id").alias("b"), "band", "value")
-    pairs = banded.withColumnRenamed("id", "a").join(right, ["band", "value"]).where("a < b").select("a", "b").distinct()
-    edges = materialise(similarities(reps, pairs, n).where(F.col("similarity") >= threshold), "similar")
-    state = materialise(keep_first(reps.select(F.col("doc_id").alias("id")), edges), "kept")
+    reps = materialise(clean.join(first.select(F.col("first").alias("id")), "id", "left_semi"), "representatives")
+    if near:
+        edges = set_similarities(reps, candidate_pairs(reps.where("words > 0"), threshold, permutations, classes=False)).where(F.col("similarity") >= threshold)
+    else:
+        edges = reps.sparkSession.createDataFrame([], "a long, b long, similarity double")
+    edges = materialise(edges, "similar")
+    state = materialise(keep_first(reps.select("id"), edges), "kept")
     kept = state.where("kept").select(F.col("id").alias("a"))
     best = edges.join(kept, "a").groupBy("b").agg(F.max(F.struct("similarity", (-F.col("a")).alias("m"))).alias("best"))
     first_of = state.join(best, state["id"] == best["b"], "left").select(F.col("id").alias("first"), "kept", (-F.col("best.m")).alias("near"), F.col("best.similarity").alias("near_similarity"))

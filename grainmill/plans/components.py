@@ -52,7 +52,8 @@ def connected_components(edges: DataFrame, src: str, dst: str, contracted: bool
 
     Alternates large-star and small-star until the edges stop changing, which takes a number of rounds
     logarithmic in the longest path. Every round is written to the shared folder, so nothing is recomputed
-    after a lost executor. Null ends and loops are ignored; repeated edges count once; no edges give no rows.
+    after a lost executor. Where fewer than FLUSH_EDGES edges are left, one task ends the work.
+    Null ends and loops are ignored; repeated edges count once; no edges give no rows.
     """
     both = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b"))
     both = both.where("a is not null and b is not null and a <> b")
@@ -67,6 +68,10 @@ def connected_components(edges: DataFrame, src: str, dst: str, contracted: bool
         return tuple(df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
 
     before = state(current)
+    if contracted and 0 < before[0] < FLUSH_EDGES:
+        one = materialise(contract(current.coalesce(1)), "edges")
+        drop_table(current)
+        current, before = one, (0,)
     while before[0]:
         sides = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = sides.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

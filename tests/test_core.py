@@ -1,5 +1,6 @@
 """The library without its llm package."""
 
+import hashlib
 import math
 import random
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from grainmill.functions import pii
 from grainmill.functions import text as T
-from grainmill.functions.hashing import PRIME, lsh_parameters, minhash, permutations, portable_hash
+from grainmill.functions.hashing import PRIME, lsh_parameters, minhash, permutations, portable_hashes
 from grainmill.operators import dedup, intervals, ledger, metrics, validate
 from grainmill.plans.components import connected_components
 
@@ -61,7 +62,8 @@ def test_lsh_parameters():
 
 
 def test_minhash_by_hand():
-    hashes = [portable_hash(x) for x in (b"a", b"b", b"c")]
+    assert portable_hashes(["a"]).tolist() == [int(hashlib.md5(b"a").hexdigest()[:15], 16)]
+    hashes = [int(h) % PRIME for h in portable_hashes("abc")] + [0, PRIME - 1]
     assert minhash(np.array(hashes), 4).tolist() == [min((a * h + b) % PRIME for h in hashes) for a, b in permutations(4)]
 
 
