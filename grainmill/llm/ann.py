@@ -59,14 +59,15 @@ class Index:
         return out
 
 
-def fit(rows: np.ndarray, n: int, recall: float, k: int, width: int = 2, most_cells: int = 1024) -> Index:
+def fit(rows: np.ndarray, n: int, recall: float, k: int, width: int = 2, most_cells: int = 2048) -> Index:
     """Fit on a bounded sample of the n vectors.
 
-    The number of cells is the root of n, up to ``most_cells``; codes have a byte for every ``width`` dimensions. The
+    The number of cells is four roots of n, up to ``most_cells`` and an eighth of the sample, so that a query's share of
+    all rows falls as n grows; codes have a byte for every ``width`` dimensions. The
     number of probes is the least that reaches ``recall`` of the k nearest neighbours inside the sample, for 200 of its
     rows. The sample is thinner than the whole, its neighbours are further off, so more are visited than need be.
     """
-    cells = max(1, min(most_cells, round(n**0.5)))
+    cells = max(1, min(most_cells, round(4 * n**0.5), len(rows) // 8))
     centres = kmeans(rows, cells)
     own = nearest(rows.astype(np.float32), centres)
     residual = rows.astype(np.float32) - centres[own]
@@ -80,7 +81,7 @@ def fit(rows: np.ndarray, n: int, recall: float, k: int, width: int = 2, most_ce
     return Index(centres, books, parts, min(len(centres), probes))
 
 
-def search(table: DataFrame, every: int = 100, k: int = 10, rerank: int = 100, recall: float = 0.98, sample_rows: int = 20_000, most_in_block: int = 65_536, most_queries: int = 1024) -> DataFrame:
+def search(table: DataFrame, every: int = 100, k: int = 10, rerank: int = 100, recall: float = 0.94, sample_rows: int = 20_000, most_in_block: int = 65_536, most_queries: int = 1024) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k nearest found, by Euclidean distance, of every query.
 
     Queries are the rows whose vec_id is divisible by ``every``; all other rows than the query's own are candidates.
@@ -90,10 +91,11 @@ def search(table: DataFrame, every: int = 100, k: int = 10, rerank: int = 100, r
     Only codes and ids move to the cells. Cells with more than ``most_in_block`` rows or ``most_queries`` queries are cut
     into blocks of both, each pair of blocks a task's work, so a hot cell neither fills a task nor loses a row.
 
-    Vectors that ``valid_vectors`` leaves out take no part; rows that repeat an id count once per row among candidates
-    of other queries; fewer candidates than k give fewer ranks; an empty table gives no rows.
+    Vectors that ``valid_vectors`` leaves out take no part. Equal rows of one id count once; different vectors under one
+    id are each a candidate of other queries, and the nearest of them is reported; of an id's different vectors the least
+    by its bytes is the query. Fewer candidates than k give fewer ranks; an empty table gives no rows.
     """
-    vectors = materialise(valid_vectors(table), "vectors")
+    vectors = materialise(valid_vectors(table).distinct(), "vectors")
     n = vectors.count()
     empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if n == 0:
@@ -116,7 +118,7 @@ def search(table: DataFrame, every: int = 100, k: int = 10, rerank: int = 100, r
 
     ddl = "cell int, id long, code binary"
     coded = materialise(vectors.mapInArrow(encode, ddl), "codes")
-    queries = vectors.where(F.col("id") % every == 0).dropDuplicates(["id"])
+    queries = materialise(vectors.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vector").alias("vector")), "queries")
     asked = queries.mapInArrow(probe, ddl)
     by_cell = lambda df, most: {r[0]: -(-r[1] // most) for r in df.groupBy("cell").count().collect()}  # noqa: E731  at most a row per cell
     row_blocks, query_blocks = by_cell(coded, most_in_block), by_cell(asked.select("cell"), most_queries)
@@ -172,7 +174,7 @@ def search(table: DataFrame, every: int = 100, k: int = 10, rerank: int = 100, r
                 v = np.broadcast_to(r, d.shape)
                 if best is not None:
                     d, v = np.concatenate([best[0], d], 1), np.concatenate([best[1], v], 1)
-                order = np.lexsort((v, d), axis=1)[:, :rerank]
+                order = np.argsort(d, axis=1, kind="stable")[:, :rerank]  # rows come by id, so equal ones stay in that order
                 best = np.take_along_axis(d, order, 1), np.take_along_axis(v, order, 1)
         yield from out()
 
@@ -181,7 +183,7 @@ def search(table: DataFrame, every: int = 100, k: int = 10, rerank: int = 100, r
     found = found.withColumn("n", F.row_number().over(first)).where(F.col("n") <= rerank)
     theirs = vectors.select(F.col("id").alias("vec_id"), "vector")
     mine = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
-    pairs = found.select("query_id", "vec_id").join(theirs, "vec_id").join(mine, "query_id")
+    pairs = found.select("query_id", "vec_id").distinct().join(theirs, "vec_id").join(mine, "query_id")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,6 +191,7 @@ def search(table: DataFrame, every: int = 100, k: int = 10, rerank: int = 100, r
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], ["query_id", "vec_id", "score"])
 
     scored = pairs.select("query_id", "vec_id", "vector", "query").mapInArrow(exact, "query_id long, vec_id long, score double")
+    scored = scored.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

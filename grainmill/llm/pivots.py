@@ -76,6 +76,8 @@ def vector_links(vectors: DataFrame, n: int, threshold: float = 0.95, nearest: i
     need = min(shared, kept)
 
     def lists(sizes: dict[int, int] | None):
+        cuts = np.array([(sizes or {}).get(p, 1) for p in range(len(pivots))], np.int64)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for at in range(0, whole.num_rows, 2048):
@@ -87,13 +89,13 @@ def vector_links(vectors: DataFrame, n: int, threshold: float = 0.95, nearest: i
                     if sizes is None:
                         yield pa.RecordBatch.from_arrays([pa.array(order.ravel().astype(np.int32))], ["pivot"])
                         continue
-                    rows = []
-                    for k in range(len(ids)):
-                        for p in order[k].tolist():
-                            cut = sizes.get(p, 1)
-                            own = int(ids[k]) % cut
-                            rows += [(p, min(own, o), max(own, o), int(own > o), k) for o in range(cut)]
-                    pivot, i, j, side, k = (np.array(c) for c in zip(*rows))
+                    pivot, k = order.ravel().astype(np.int64), np.repeat(np.arange(len(ids)), order.shape[1])
+                    cut = cuts[pivot]
+                    own = ids[k] % cut
+                    copy = np.repeat(np.arange(len(k)), cut)
+                    j = np.arange(len(copy)) - np.repeat(np.cumsum(cut) - cut, cut)
+                    pivot, k, own = pivot[copy], k[copy], own[copy]
+                    i, j, side = np.minimum(own, j), np.maximum(own, j), (own > j).astype(np.int32)
                     take = pa.array(k)
                     yield pa.RecordBatch.from_arrays([pa.array(pivot.astype(np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(side.astype(np.int32)), batch.column(0).take(take), pa.array([x.tobytes() for x in unit]).take(take), pa.array([x.tobytes() for x in order]).take(take)], ["pivot", "i", "j", "side", "id", "unit", "near"])
 
