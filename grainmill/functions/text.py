@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NON_WORD = r"[^\p{L}\p{M}\p{N}_]+"
+SPACES = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"  # Unicode's white space, spelt out: faster than its name
 
 
 def tokens(text: Column) -> Column:
@@ -44,12 +45,12 @@ def normalize(text: Column, strip_punctuation: bool = False) -> Column:
     out = F.lower(text)
     if strip_punctuation:
         out = F.regexp_replace(out, r"[\p{P}\p{S}]+", "")
-    return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(out, SPACES + "+", " "))
 
 
 def normalize_web(text: Column) -> Column:
     """For counting web lines: trimmed, lower case, digits as 0, no punctuation, control characters and symbols."""
-    trimmed = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    trimmed = F.regexp_replace(text, f"^{SPACES}+|{SPACES}+$", "")
     return F.regexp_replace(F.regexp_replace(F.lower(trimmed), r"\p{Nd}", "0"), r"[\p{P}\p{C}\p{S}]+", "")
 
 

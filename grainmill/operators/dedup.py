@@ -28,9 +28,10 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def exact_duplicates(docs: DataFrame, key: Column | None = None) -> DataFrame:
     """``(id, digest, keeper, duplicate)``: keep the smallest id of each digest (of the normalised text, or of ``key``).
 
-    Digests are grouped with partial aggregation and joined back, so a text with many copies is no window of its own.
+    Digests are written once, grouped with partial aggregation and joined back, so a text with many copies is no window
+    of its own and no text is normalised twice.
     """
-    rows = id_text(docs).select("id", T.content_hash(T.normalize(F.col("text")) if key is None else key).alias("digest"))
+    rows = materialise(id_text(docs).select("id", T.content_hash(T.normalize(F.col("text")) if key is None else key).alias("digest")), "digests")
     keepers = rows.groupBy("digest").agg(F.min("id").alias("keeper"))
     return rows.join(keepers, "digest").select("id", "digest", "keeper", (F.col("id") != F.col("keeper")).alias("duplicate"))
 

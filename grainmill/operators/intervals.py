@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from grainmill.plans.shared import materialise
+
 
 def merge_overlapping(spans: DataFrame, key: str = "id") -> DataFrame:
     """``(id, start, stop)`` with overlapping and touching intervals of a key as one."""
@@ -54,9 +56,16 @@ def anchors(hashes: np.ndarray, reach: int) -> np.ndarray:
     """Places whose hash is the least (the first of equal ones) of some ``reach`` neighbours in a row."""
     if len(hashes) <= reach:
         return np.array([hashes.argmin()]) if len(hashes) else np.zeros(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(hashes, reach)
-    found = [np.unique(view[k : k + 20_000].argmin(1) + np.arange(k, min(k + 20_000, len(view)))) for k in range(0, len(view), 20_000)]
-    return np.unique(np.concatenate(found))
+    best, size = np.arange(len(hashes)), 1  # the least's place among ``size`` from each place on
+
+    def better(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(hashes[b] < hashes[a], b, a)
+
+    while 2 * size <= reach:
+        best, size = better(best[:-size], best[size:]), 2 * size
+    if size < reach:
+        best = better(best[: size - reach], best[reach - size :])
+    return best[np.flatnonzero(np.diff(best, prepend=-1))]
 
 
 def repeated_windows(docs: DataFrame, length: int = 100, keep_first: bool = False) -> DataFrame:
@@ -94,10 +103,10 @@ def repeated_windows(docs: DataFrame, length: int = 100, keep_first: bool = Fals
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), doc, np.int64)), pa.array(some.astype(np.int64)), pa.array(hashes[some])], ["id", "start", "hash"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text")).where("id is not null")
-    picked = rows.mapInArrow(pick, "id long, start long, hash long")
+    picked = materialise(rows.mapInArrow(pick, "id long, start long, hash long"), "anchors")
     twice = picked.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     places = picked.join(twice, "hash").groupBy("id").agg(F.collect_list("start").alias("at"))  # bounded by a text
-    windows = rows.join(places, "id").select("id", "text", "at").mapInArrow(around, "id long, start long, hash long")
+    windows = materialise(rows.join(places, "id").select("id", "text", "at").mapInArrow(around, "id long, start long, hash long"), "windows")
     many = windows.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("id", "start")).alias("first")).where("n > 1").select("hash", "first")
     found = windows.join(many, "hash")
     if keep_first:

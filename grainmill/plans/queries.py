@@ -11,7 +11,7 @@ from grainmill.functions import pii
 from grainmill.functions import text as T
 from grainmill.functions.hashing import PRIME, lsh_parameters, permutations
 from grainmill.operators import dedup, intervals, ledger, metrics, validate
-from grainmill.plans.shared import materialise
+from grainmill.plans.shared import materialise, spread
 from grainmill.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars"))
 
 
 # SQL that several queries share
@@ -248,6 +248,18 @@ best AS (SELECT id, match, similarity FROM (SELECT *, row_number() OVER (PARTITI
 BAD = f"{EXACT_BAD}, {best_sql(0.2)}, bad AS (SELECT id, match, similarity FROM bad_exact UNION ALL SELECT id, match, similarity FROM best WHERE id NOT IN (SELECT id FROM bad_exact))"
 
 
+FIRST_LINE = "split_part(coalesce(text, ''), chr(10), 1)"
+
+
+@query(f"WITH lines AS (SELECT doc_id, {FIRST_LINE} AS text FROM documents), named AS (SELECT doc_id, {DIGEST} AS digest FROM lines), held AS (SELECT min(doc_id) AS match, digest FROM named WHERE doc_id % 7 = 0 GROUP BY digest) SELECT doc_id AS id, match FROM named JOIN held USING (digest)")
+def decontaminate_exact_lines(spark, sf_dir):
+    """First lines of documents against those of a seventh of them, taken as the reference."""
+    rows = docs_of(spark, sf_dir).select("doc_id", F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)).alias("text"))
+    named = materialise(dedup.id_text(rows).select("id", T.content_hash(T.normalize(F.col("text"))).alias("digest")), "lines")
+    held = named.where("id % 7 = 0").groupBy("digest").agg(F.min("id").alias("match"))
+    return named.join(held, "digest").select("id", "match")
+
+
 @query(f"WITH {EXACT_BAD} SELECT id, match FROM bad_exact")
 def decontaminate_exact(spark, sf_dir):
     docs, bench = docs_of(spark, sf_dir), table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id")
@@ -343,11 +355,11 @@ def content_ids(spark, sf_dir):
     return validate.conversations(table(spark, sf_dir, "conversations")).select("conv_id", validate.content_id(F.col("messages")).alias("content_id"))
 
 
-@query(f"WITH {CONV}, ids AS (SELECT md5(c[1]) AS id, conv_id AS line, md5(c[-1]) AS content FROM conv), first AS (SELECT id, min(line) AS first_line, arg_min(content, line) AS first_content FROM ids GROUP BY id) SELECT id, line, first_line, content = first_content AS same_content FROM ids JOIN first USING (id) WHERE line > first_line")
+@query(f"WITH {CONV}, ids AS (SELECT left(md5(c[1]), 2) AS id, conv_id AS line, md5(c[-1]) AS content FROM conv), first AS (SELECT id, min(line) AS first_line, arg_min(content, line) AS first_content FROM ids GROUP BY id) SELECT id, line, first_line, content = first_content AS same_content FROM ids JOIN first USING (id) WHERE line > first_line")
 def duplicate_ids(spark, sf_dir):
-    """Conversations under an id made of their first message."""
+    """Conversations under a short id made of their first message."""
     contents = F.transform("messages", lambda m: m["content"])
-    rows = validate.conversations(table(spark, sf_dir, "conversations")).select(F.md5(F.element_at(contents, 1)).alias("own_id"), F.col("conv_id").alias("at"), F.md5(F.element_at(contents, -1)).alias("content"))
+    rows = validate.conversations(table(spark, sf_dir, "conversations")).select(F.left(F.md5(F.element_at(contents, 1)), F.lit(2)).alias("own_id"), F.col("conv_id").alias("at"), F.md5(F.element_at(contents, -1)).alias("content"))
     return validate.duplicate_ids(rows, "own_id", "at", "content")
 
 
@@ -368,7 +380,7 @@ RUN_ROWS = [("run-1", "", "", "first", "bytes-1", "", 1, 0, 0, 0, 0), ("run-2",
 def ledger_batches(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The whole table as a batch, the records that the first run leaves, and the runs."""
     digest = T.content_hash(T.normalize(F.coalesce("text", F.lit(""))))
-    rows = docs_of(spark, sf_dir).select(F.col("doc_id").alias("line"), F.col("doc_id").cast("string").alias("record_id"), digest.alias("digest"), "lang")
+    rows = materialise(docs_of(spark, sf_dir).select(F.col("doc_id").alias("line"), F.col("doc_id").cast("string").alias("record_id"), digest.alias("digest"), "lang"), "batch")
     first = rows.where(F.col("lang").isin("en", "de")).drop("lang")
     records = first.select("digest", "record_id", F.lit("run-1").alias("run_id"), "line", F.lit(1).cast("long").alias("batch"))
     return rows.drop("lang"), records, spark.createDataFrame(RUN_ROWS, ledger.RUNS)

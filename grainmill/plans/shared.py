@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where none is set."""
+    """The cluster's shared folder (``spark.checkpoint.dir``); on one machine a temporary one if none is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="grainmill-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -30,6 +32,12 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table as it is read, over all cores: one with fewer splits than cores is small and is dealt out once."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def drop_table(df: DataFrame | None) -> None:
     """Delete the files behind a table that ``materialise`` returned."""
     path = getattr(df, "_grainmill_path", None)
