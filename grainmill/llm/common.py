@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 CACHE_WORDS = 100_000
+SEEN = 1 << 20
 LONG = 1_000_000
+MARKS = "".join(map(chr, [*range(33, 39), *range(40, 48), 58, 59, 61, 63, 64, *range(91, 97), 123, 125, 126]))  # no token joins them to letters
 PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
 
@@ -49,7 +51,7 @@ EXOTIC_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u20
 class _Units(dict):
     """Unit of text, after ``lead`` -> its ids as little-endian unsigned 32-bit bytes."""
 
-    plain = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=?@\[-`{}~]*)").fullmatch
+    latin = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 
     def __init__(self, tokenizer, lead: str, keeps_space: bool):
         self.tokenizer, self.model, self.lead, self.keeps_space = tokenizer, tokenizer.model, lead, keeps_space
@@ -59,6 +61,7 @@ class _Units(dict):
         self.shown_lead, self.tokenize = lead.translate(self.table), self.model.tokenize
         self.newline = self.direct("\n")
         self.old: dict[str, bytes] = {}
+        self.seen = bytearray(SEEN)
         self.bare = _Units(tokenizer, "", keeps_space) if lead else self
 
     def direct(self, text: str) -> bytes:
@@ -72,22 +75,28 @@ class _Units(dict):
         return PACK[len(ids)](*ids) if len(ids) < len(PACK) else np.array(ids, "<u4").tobytes()
 
     def __missing__(self, unit: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.old = dict(self)
-            self.clear()
         ids = self.old.get(unit)
         if ids is None:
-            m = self.plain(unit)
-            if m:
-                ids = self[m[1]] + self.bare[m[2]] if m[2] else self.word(unit)
+            word = unit.rstrip(MARKS)
+            if word.isalpha() and (word.isascii() or self.latin(word)):
+                ids = self.word(word) if len(word) == len(unit) else self[word] + self.bare[unit[len(word) :]]
             elif "\n" in unit and all(p and not p[0].isspace() and not p[-1].isspace() for p in unit.split("\n")):
                 first, *others = unit.split("\n")
                 return self.newline.join([self[first], *(self.bare[p] for p in others)])  # seldom seen again
             else:
                 ids = self.direct(self.lead + unit)
+            at = hash(unit) & SEEN - 1
+            if not self.seen[at]:  # most new units don't come again: they are kept from the second time on
+                self.seen[at] = 1
+                return ids
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+            self.seen = bytearray(SEEN)
         self[unit] = ids
         return ids
 
+
 class UnitTokenizer:
     """A byte-level tokenizer of the tokenizers library that encodes each distinct word once.
 
@@ -112,6 +121,8 @@ class UnitTokenizer:
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit bytes; long texts go by slices of about LONG characters."""
+        if not self.cache.keeps_space and text.isascii():
+            text = text.lower()  # as the library does, so that a word is met in one spelling
         ids, start, cache = [], 0, self.cache.bare
         while len(text) - start > 2 * LONG and (m := self.cut.search(text, start + LONG)):
             first, *others = self.units(text[start : m.start()])
