@@ -61,7 +61,7 @@ class _Units(dict):
         self.shown_lead, self.tokenize = lead.translate(self.table), self.model.tokenize
         self.newline = self.direct("\n")
         self.old: dict[str, bytes] = {}
-        self.seen = bytearray(SEEN)
+        self.room, self.seen = CACHE_WORDS, bytearray(SEEN)
         self.bare = _Units(tokenizer, "", keeps_space) if lead else self
 
     def direct(self, text: str) -> bytes:
@@ -72,25 +72,29 @@ class _Units(dict):
             text = text.lower()
         spelled = self.shown_lead + text if text.isascii() else (self.lead + text).encode().decode("latin1").translate(self.table)
         ids = [t.id for t in self.tokenize(spelled)]
-        return PACK[len(ids)](*ids) if len(ids) < len(PACK) else np.array(ids, "<u4").tobytes()
+        try:
+            return PACK[len(ids)](*ids)
+        except IndexError:
+            return np.array(ids, "<u4").tobytes()
 
     def __missing__(self, unit: str) -> bytes:
         ids = self.old.get(unit)
         if ids is None:
             word = unit.rstrip(MARKS)
             if word.isalpha() and (word.isascii() or self.latin(word)):
-                ids = self.word(word) if len(word) == len(unit) else self[word] + self.bare[unit[len(word) :]]
+                ids = self.word(word) if word == unit else self[word] + self.bare[unit[len(word) :]]
             elif "\n" in unit and all(p and not p[0].isspace() and not p[-1].isspace() for p in unit.split("\n")):
                 first, *others = unit.split("\n")
                 return self.newline.join([self[first], *(self.bare[p] for p in others)])  # seldom seen again
             else:
                 ids = self.direct(self.lead + unit)
-            at = hash(unit) & SEEN - 1
-            if not self.seen[at]:  # most new units don't come again: they are kept from the second time on
-                self.seen[at] = 1
+            seen, at = self.seen, hash(unit) & SEEN - 1
+            if not seen[at]:  # most new units don't come again: they are kept from the second time on
+                seen[at] = 1
                 return ids
-        if len(self) >= CACHE_WORDS:
-            self.old = dict(self)
+        self.room -= 1
+        if self.room < 0:
+            self.room, self.old = CACHE_WORDS, dict(self)
             self.clear()
             self.seen = bytearray(SEEN)
         self[unit] = ids
