@@ -333,3 +333,55 @@ def test_distrust_reaches_the_end_of_a_chain(spark):
     edges = spark.createDataFrame([(f"h{k + 1}", f"h{k}", 1) for k in range(12)], "src string, dst string, weight long")
     found = {r["host"]: r["distrust"] for r in url_filter.host_trust(seeds, edges).collect()}
     assert all(abs(found[f"h{k}"] - 0.15 * 0.85**k) < 1e-8 for k in range(13))
+
+
+def test_ann_with_repeated_ids(spark):
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((60, 8))
+    rows = [(k, x.tolist(), 1.0) for k, x in enumerate(v)]
+    rows += [rows[7], rows[7], (7, v[0].tolist(), 1.0), (9, None, 1.0)]  # equal rows, and one id under two vectors
+    found = [(r["rank"], r["vec_id"], round(r["score"], 9)) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score double"), k=10).where("query_id = 0").orderBy("rank").collect()]
+    d = {k: float(np.linalg.norm(v[k] - v[0])) for k in range(1, 60)} | {7: 0.0}
+    assert found == [(n + 1, k, round(d[k], 9)) for n, k in enumerate(sorted(d, key=lambda k: (d[k], k))[:10])]
+
+
+def test_very_long_texts_are_packed_and_stored(spark):
+    rng = random.Random(20)
+    text = " ".join(prose(rng, 2000) for _ in range(170))
+    assert len(text) > 2_000_000
+    frame = spark.createDataFrame([(1, text), (2, "short one")], "doc_id long, text string")
+    for name, end in (("byte_bpe_50k.json", 0), ("word_bpe_49k.json", 2)):
+        ids = np.array([*Tokenizer.from_file(tokenizer_path(name)).encode(text, add_special_tokens=False).ids, end], "<u4")
+        if end:
+            stored = token_store.read_tokens(token_store.write_tokens(frame, tokenizer_path(name))).where("doc_id = 1").first()
+            assert bytes(stored["ids"]) == ids.tobytes() and stored["start"] == 0
+        else:
+            pieces = packing.pack(frame, tokenizer_path(name)).where("doc_id = 1").orderBy("start").collect()
+            assert b"".join(bytes(p["ids"]) for p in pieces) == ids.tobytes()
+
+
+def test_a_score_is_that_of_the_document_alone(spark):
+    rng = random.Random(21)
+    texts = [prose(rng, n) for n in (0, 1, 5, 40, 700, 3)] * 3
+    counts = language_model.word_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
+    vocabulary = language_model.Vocabulary.of(counts, 60)
+    model = language_model.Model(vocabulary, 8)
+    encoder = language_model.Encoder(vocabulary)
+    symbols = [np.fromiter(map(encoder.__getitem__, language_model.words_of(t)), np.int32) for t in texts]
+    together = language_model.score_batch(model, symbols, most_lanes=4, steps=7)
+    for ids, got in zip(symbols, together):
+        h, x, total = np.zeros((1, 8), np.float32), model.symbols, 0.0
+        for y in ids:
+            h = model.step(np.array([x]), h)[0]
+            total += float(model.outputs(h, np.array([y]))[0])
+            x = y
+        assert abs(total / np.log(10) - got) < 1e-3 * max(1, len(ids) / 20)
+
+
+def test_frequent_words_are_bounded(spark):
+    rows = [(b"w%d" % k, n, 0) for k, n in enumerate([500, 400, 300] + [7] * 2000)]
+    counts = spark.createDataFrame(rows, "word binary, n long, tail int")
+    assert {r["n"] for r in language_model.frequent_words(counts, 3).collect()} == {500, 400, 300}
+    some = language_model.frequent_words(counts, 203).collect()
+    assert 150 <= len(some) <= 240 and sum(r["n"] > 7 for r in some) == 3
+    assert language_model.frequent_words(counts, 5000).count() == 2003
