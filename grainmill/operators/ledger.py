@@ -6,6 +6,7 @@ import json
 import os
 import time
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 from datetime import UTC, datetime
 from pathlib import Path
@@ -106,8 +107,11 @@ class Ledger:
         finally:
             lock.unlink(missing_ok=True)
 
-    def deliver(self, batch: DataFrame, source: str, source_digest: str, pipeline: str = "", config_digest: str = "") -> DataFrame:
-        """Decide ``batch(line, record_id, digest)`` and record what is delivered; returns the decisions."""
+    def deliver(self, batch: DataFrame, source: str, source_digest: str, pipeline: str = "", config_digest: str = "", hand_over: Callable[[DataFrame], None] | None = None) -> DataFrame:
+        """Decide ``batch(line, record_id, digest)`` and record what is delivered; returns the decisions.
+
+        ``hand_over`` gets the decisions before they count. If it fails, so does the run, and the ledger stays as it was.
+        """
         with self._locked():
             current, run = self._current(), uuid.uuid4().hex[:16]
             number = current["batch"] + 1
@@ -120,5 +124,7 @@ class Ledger:
             total, skipped, rerun = sum(counts.values()), counts.get("skipped", 0), counts.get("rerun", 0)
             row = (run, pipeline, config_digest, source, source_digest, datetime.now(UTC).isoformat(), number, total, total - skipped, skipped, rerun)
             self.spark.createDataFrame([row], RUNS).write.parquet(str(self.folder / f"runs/{run}"))
+            if hand_over:
+                hand_over(decided)
             self._point({"records": [*current["records"], f"records/{run}"], "runs": [*current["runs"], f"runs/{run}"], "batch": number})
             return decided

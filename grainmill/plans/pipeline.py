@@ -19,7 +19,7 @@ from grainmill.sources import jsonl
 STAGES = ("validate", "dedup", "ledger")
 KNOWN = {
     "validate": {"stage", "kind", "output", "quarantine", "unknown_fields", "max_quarantine_rate"},
-    "dedup": {"stage", "fields", "threshold", "ngram", "reference", "reference_threshold", "output", "rejects"},
+    "dedup": {"stage", "fields", "threshold", "ngram", "num_perm", "seed", "near", "strip_punctuation", "reference", "reference_fields", "reference_threshold", "output", "rejects", "clusters"},
     "ledger": {"stage", "fields", "path", "output", "seen"},
 }
 
@@ -48,7 +48,7 @@ def load_spec(path: str) -> dict:
     spec["input"] = place(spec["input"])
     outputs = []
     for s in stages:
-        for k in ("output", "quarantine", "rejects", "seen", "path", "reference"):
+        for k in ("output", "quarantine", "rejects", "clusters", "seen", "path", "reference"):
             if k in s:
                 s[k] = place(s[k])
                 outputs += [s[k]] if k not in ("path", "reference") else []
@@ -57,12 +57,37 @@ def load_spec(path: str) -> dict:
     return spec
 
 
-def joined(rows: DataFrame, fields: list[str]) -> DataFrame:
-    return rows.select(rows["line"].alias("doc_id"), F.concat_ws("\n", *(T.normalize(F.coalesce(rows[f], F.lit(""))) for f in fields)).alias("text"))
+def joined(rows: DataFrame, fields: list[str], strip_punctuation: bool = False) -> DataFrame:
+    parts = (T.normalize(F.coalesce(rows[f], F.lit("")), strip_punctuation) for f in fields)
+    return rows.select(rows["line"].alias("doc_id"), F.concat_ws("\n", *parts).alias("text"))
+
+
+def reference_rows(spark: SparkSession, path: str, kind: str, fields: list[str]) -> DataFrame:
+    """``(line, *fields)`` of a reference: records of the kind, or plain objects that have one of the fields as text.
+
+    Any other line can't be compared, so that contamination would be missed; it is an error.
+    """
+    parsed = materialise(jsonl.parse(jsonl.read_lines(spark, path), kind, "metadata"), "reference")
+    fine = F.size("reasons") == 0
+    plain = F.when(F.try_parse_json(F.col("content").cast("string")).isNotNull(), F.col("content").cast("string"))
+    own = {f: F.try_variant_get(F.try_parse_json(plain), f"$.{f}", "string") for f in fields}
+    rows = parsed.select("line", *(F.when(fine, parsed[f] if f in parsed.columns else own[f]).otherwise(own[f]).alias(f) for f in fields), fine.alias("_fine"))
+    bad = rows.where(~F.col("_fine")).where(" and ".join(f"`{f}` is null" for f in fields)).agg(F.min("line")).first()[0]
+    if bad is not None:
+        raise SpecError(f"line {bad} of the reference {path} has none of {', '.join(fields)}")
+    return rows.drop("_fine")
+
+
+def digest_of(path: str) -> str:
+    """sha256 of a file, read piece by piece."""
+    with open(path, "rb") as file:
+        return hashlib.file_digest(file, "sha256").hexdigest()
 
 
 def run(spark: SparkSession, spec: dict) -> dict:
     """Run all stages and return their counts. What a stage keeps is the next one's input."""
+    if Path(spec["input"]).is_dir():
+        raise SpecError("the input must be one file, since records are told apart by their lines")
     report: dict = {"pipeline": spec.get("name", "")}
     raw = jsonl.read_lines(spark, spec["input"])
     kind = spec["stages"][0].get("kind", "sft")
@@ -85,9 +110,15 @@ def run(spark: SparkSession, spec: dict) -> dict:
             rows = valid
         elif s["stage"] == "dedup":
             fields = s.get("fields", default)
-            reference = jsonl.parse(jsonl.read_lines(spark, s["reference"]), kind, "metadata") if "reference" in s else None
-            empty = spark.createDataFrame([], "doc_id long, text string")
-            decided = materialise(dedup.decisions(joined(rows, fields), joined(reference, fields) if reference is not None else empty, s.get("threshold", 0.8), s.get("reference_threshold", 0.8), s.get("ngram", 3)), "decided")
+            strip, known = s.get("strip_punctuation", False), spark.createDataFrame([], "doc_id long, text string")
+            if "reference" in s:
+                theirs = s.get("reference_fields", fields)
+                known = joined(reference_rows(spark, s["reference"], kind, theirs), theirs, strip)
+            decided = dedup.decisions(joined(rows, fields, strip), known, s.get("threshold", 0.8), s.get("reference_threshold", 0.8), s.get("ngram", 3), s.get("num_perm", 128), s.get("seed", 42), s.get("near", True))
+            decided = materialise(decided, "decided")
+            if "clusters" in s:
+                groups = decided.where("reason in ('exact_duplicate', 'near_duplicate')").groupBy(F.col("match").alias("line")).agg(F.sort_array(F.collect_list("id")).alias("members"))
+                jsonl.write_lines(groups.select("line", F.to_json(F.struct(F.col("line").alias("kept"), (F.size("members") + 1).alias("size"), "members")).cast("binary").alias("content")), s["clusters"])
             report["dedup"] = {r["reason"]: r["count"] for r in decided.groupBy("reason").count().orderBy("reason").collect()}
             if "rejects" in s:
                 gone = decided.where("reason <> 'kept'").select(F.col("id").alias("line"), F.to_json(F.struct(F.col("id").alias("line"), "reason", "match", F.round("similarity", 6).alias("similarity"))).cast("binary").alias("content"))
@@ -98,12 +129,20 @@ def run(spark: SparkSession, spec: dict) -> dict:
             fields = s.get("fields", default)
             batch = joined(rows, fields).join(rows.select(rows["line"].alias("doc_id"), F.coalesce("id", "content_id").alias("record_id")), "doc_id")
             batch = batch.select(F.col("doc_id").alias("line"), "record_id", T.content_hash(F.col("text")).alias("digest"))
-            digest = hashlib.sha256(Path(spec["input"]).read_bytes()).hexdigest()[:16]
-            decided = ledger.Ledger(spark, s["path"]).deliver(batch, spec["input"], digest, spec.get("name", ""))
+            config = hashlib.sha256(json.dumps(spec, sort_keys=True).encode()).hexdigest()[:16]
+            before = rows
+
+            def hand_over(decided: DataFrame) -> None:
+                """The outputs are written before the ledger says that they were delivered."""
+                if "seen" in s:
+                    jsonl.write_lines(decided.where("action <> 'new'").select("line", F.to_json(F.struct("line", "record_id", "digest", "action", "seen_run", "seen_id")).cast("binary").alias("content")), s["seen"])
+                if "output" in s:
+                    jsonl.write_lines(before.join(decided.where("action <> 'skipped'").select("line"), "line", "left_semi"), s["output"])
+
+            decided = ledger.Ledger(spark, s["path"]).deliver(batch, spec["input"], digest_of(spec["input"])[:16], spec.get("name", ""), config, hand_over)
             report["ledger"] = {r["action"]: r["count"] for r in decided.groupBy("action").count().orderBy("action").collect()}
-            if "seen" in s:
-                jsonl.write_lines(decided.where("action <> 'new'").select("line", F.to_json(F.struct("line", "record_id", "digest", "action", "seen_run", "seen_id")).cast("binary").alias("content")), s["seen"])
             rows = rows.join(decided.where("action <> 'skipped'").select("line"), "line", "left_semi")
+            continue
         if "output" in s:
             jsonl.write_lines(rows, s["output"])
     return report

@@ -128,7 +128,10 @@ def _id(value: object, issues: list[Issue]) -> str | None:
         return None
     if isinstance(value, int) and not isinstance(value, bool):
         value = str(value)
-    if not isinstance(value, str) or not 1 <= len(value) <= 256 or any(c.isspace() for c in value):
+    if not isinstance(value, str):
+        issues.append(("string_type", "id", "must be a string or a whole number"))
+        return None
+    if not 1 <= len(value) <= 256 or any(c.isspace() for c in value):
         issues.append(("invalid_id", "id", "must be 1 to 256 characters without white space"))
         return None
     return value

@@ -155,3 +155,32 @@ def test_metrics(spark):
     assert metrics.adjusted_rand(both).first()[0] == 1.0
     rows = spark.createDataFrame([([1], [1]), ([], []), ([2], [3]), ([], [4])], "p array<int>, t array<int>")
     assert [r[0] for r in rows.select(metrics.outcome(F.col("p"), F.col("t"))).collect()] == ["TP", "TN", "FP", "FN"]
+
+
+def test_phone_numbers_with_other_spaces():
+    assert [s[3] for s in pii.detect("ring +1 555 123 4567 or (030) 1234 5678, not 1234-5678-9012-34567")] == ["+1 555 123 4567", "(030) 1234 5678"]
+
+
+def test_keep_first_in_rounds_and_at_once(spark):
+    rng = random.Random(4)
+    pairs = sorted({tuple(sorted(rng.sample(range(120), 2))) for _ in range(150)} | {(k, k + 1) for k in range(60)})
+    kept = {}
+    for k in range(120):
+        kept[k] = not any(kept[a] for a, b in pairs if b == k)
+    rows, edges = spark.range(120), spark.createDataFrame(pairs, "a long, b long")
+    for most in (0, 40, 200_000):
+        assert {r["id"]: r["kept"] for r in dedup.keep_first(rows, edges, most).collect()} == kept
+
+
+def test_hot_band_values_give_the_same_pairs(spark):
+    words = " ".join(f"w{k}" for k in range(60))
+    signed = dedup.gram_sets(docs(spark, [f"{words} end{k}" for k in range(40)]), permutations=128)
+    few = {tuple(r) for r in dedup.candidate_pairs(signed, most=3).collect()}
+    assert few == {tuple(r) for r in dedup.candidate_pairs(signed).collect()} and len(few) > 600
+
+
+def test_anchors_are_the_least_of_every_window():
+    rng = np.random.default_rng(8)
+    for reach in (1, 2, 5, 8, 51):
+        hashes = rng.integers(0, 40, 400)
+        assert intervals.anchors(hashes, reach).tolist() == sorted({k + int(hashes[k : k + reach].argmin()) for k in range(400 - reach + 1)})

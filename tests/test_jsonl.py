@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from grainmill.operators import ledger
 from grainmill.plans import pipeline
 from grainmill.sources import jsonl, tables
 
@@ -75,3 +76,50 @@ def test_index_is_dense(spark):
     rows = spark.range(100).repartition(7)
     assert sorted(r["__INDEX__"] for r in tables.with_index(rows).collect()) == list(range(100))
     assert all(r["id"] == r["__INDEX__"] for r in tables.with_index(rows, "id").collect())
+
+
+def write_spec(folder, lines, reference, **options):
+    (folder / "in.jsonl").write_bytes(b"\n".join(lines) + b"\n")
+    (folder / "ref.jsonl").write_bytes(b"\n".join(reference) + b"\n")
+    stages = [{"stage": "validate"}, {"stage": "dedup", "reference": "ref.jsonl", **options}, {"stage": "ledger", "path": "ledger", "output": "new.jsonl"}]
+    (folder / "spec.json").write_text(json.dumps({"name": "r", "input": "in.jsonl", "stages": stages}))
+    return pipeline.load_spec(str(folder / "spec.json"))
+
+
+def test_references_of_plain_objects(spark, tmp_path):
+    lines = [sft(LONG, "own answer", id="a"), sft("what else", "other words here", id="b")]
+    plain = json.dumps({"prompt": LONG, "source": "exam"}).encode()
+    report = pipeline.run(spark, write_spec(tmp_path, lines, [plain, sft("no", "match")], fields=["prompt"]))
+    assert report["dedup"] == {"contaminated": 1, "kept": 1}
+    for broken in (b"broken", b"[1]", b'{"text": "of another name"}'):
+        with pytest.raises(pipeline.SpecError, match="line 2"):
+            pipeline.run(spark, write_spec(tmp_path, lines, [plain, broken], fields=["prompt"]))
+
+
+def test_clusters_file_and_no_near(spark, tmp_path):
+    near = LONG.replace("token40", "other")
+    lines = [sft("q", LONG, id="a"), sft("Q", LONG, id="b"), sft("q", near, id="c"), sft("q", LONG + "!", id="d")]
+    none = [sft("unlike", "all of them")]
+    pipeline.run(spark, write_spec(tmp_path, lines, none, clusters="groups.jsonl"))
+    assert [json.loads(x) for x in (tmp_path / "groups.jsonl").read_text().splitlines()] == [{"kept": 1, "size": 4, "members": [2, 3, 4]}]
+    exact = pipeline.run(spark, write_spec(tmp_path, lines, none, near=False, strip_punctuation=True))
+    assert exact["dedup"] == {"exact_duplicate": 2, "kept": 2}
+
+
+def test_a_ledger_counts_only_what_was_written(spark, tmp_path):
+    book = ledger.Ledger(spark, str(tmp_path / "ledger"))
+    batch = spark.createDataFrame([(1, "a", "d1")], "line long, record_id string, digest string")
+
+    def fails(decided):
+        raise OSError("disk full")
+
+    with pytest.raises(OSError):
+        book.deliver(batch, "s", "bytes", hand_over=fails)
+    assert book.records().count() == 0
+    assert [r["action"] for r in book.deliver(batch, "other", "more bytes").collect()] == ["new"]
+
+
+def test_ids_that_are_no_text():
+    for value in (True, 1.5, ["a"]):
+        assert {c for c, *_ in jsonl.check({"prompt": "a", "response": "b", "id": value}, "sft")[1]} == {"string_type"}
+    assert jsonl.check({"prompt": "a", "response": "b", "id": 7}, "sft")[1] == []
