@@ -72,8 +72,8 @@ def split_sql(url: str) -> str:
     return f"translate(regexp_extract({rest}, '^[^/?#]*'), '{upper}', '{upper.lower()}') AS host, regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) AS path"
 
 
-def op2_sql(rounds: int = 8, damping: float = 0.85) -> str:
-    """The same rules, and the same propagation with a common table expression a round."""
+def op2_sql(rounds: int = 130, damping: float = 0.85) -> str:
+    """The same rules, and the same propagation with a common table expression a round, as many as bring changes below 1e-9."""
     rules = sorted(url_filter.RULES, key=lambda r: (-len(r[0]), r[0]))
     fits = [(t, v, f"(host = '{t.partition('/')[0]}' OR ends_with(host, '.{t.partition('/')[0]}')) AND starts_with(path, '/{t.partition('/')[2]}')") for t, v in rules]
     case = lambda k: "CASE " + " ".join(f"WHEN {f[2]} THEN '{f[k]}'" for f in fits) + " END"
