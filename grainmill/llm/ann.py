@@ -62,12 +62,12 @@ class Index:
 def fit(rows: np.ndarray, n: int, recall: float, k: int, width: int = 2, most_cells: int = 2048) -> Index:
     """Fit on a bounded sample of the n vectors.
 
-    The number of cells is four roots of n, up to ``most_cells`` and an eighth of the sample, so that a query's share of
-    all rows falls as n grows; codes have a byte for every ``width`` dimensions. The
+    The number of cells is the root of n, more where cells still hold 256 rows, up to ``most_cells``;
+    codes have a byte for every ``width`` dimensions. The
     number of probes is the least that reaches ``recall`` of the k nearest neighbours inside the sample, for 200 of its
     rows. The sample is thinner than the whole, its neighbours are further off, so more are visited than need be.
     """
-    cells = max(1, min(most_cells, round(4 * n**0.5), len(rows) // 8))
+    cells = max(1, min(most_cells, len(rows) // 8, max(round(n**0.5), min(n // 256, round(4 * n**0.5)))))
     centres = kmeans(rows, cells)
     own = nearest(rows.astype(np.float32), centres)
     residual = rows.astype(np.float32) - centres[own]
@@ -81,7 +81,7 @@ def fit(rows: np.ndarray, n: int, recall: float, k: int, width: int = 2, most_ce
     return Index(centres, books, parts, min(len(centres), probes))
 
 
-def search(table: DataFrame, every: int = 100, k: int = 10, rerank: int = 100, recall: float = 0.94, sample_rows: int = 20_000, most_in_block: int = 65_536, most_queries: int = 1024) -> DataFrame:
+def search(table: DataFrame, every: int = 100, k: int = 10, rerank: int = 100, recall: float = 0.96, sample_rows: int = 20_000, most_in_block: int = 65_536, most_queries: int = 1024) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k nearest found, by Euclidean distance, of every query.
 
     Queries are the rows whose vec_id is divisible by ``every``; all other rows than the query's own are candidates.
