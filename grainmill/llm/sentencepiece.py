@@ -16,6 +16,9 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BATCH_CHARS = 1_000_000
 CACHE_WORDS = 200_000
+SLICE_CHARS = 300_000
+LONG_WORD = 64
+TABLE_BITS = 21
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -69,20 +72,26 @@ class Vocabulary:
         self.own = {p: k for k, (p, kind) in enumerate(zip(self.pieces, self.kinds)) if kind in (NORMAL, USER)}
 
 
-def suffix_array(text: np.ndarray, longest: int) -> np.ndarray:
-    """The suffixes of the code points in order of their first ``longest`` characters or more, by prefix doubling."""
-    distinct, rank = np.unique(text, return_inverse=True)
-    rank = rank.astype(np.int64) + 1
-    bits = int(len(distinct)).bit_length()
-    step = max(1, min(62 // bits, longest))  # as many characters as fit are the first rank
+def suffix_array(text: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The suffixes of the code points in order of their first ``longest`` characters or more, by prefix doubling.
+
+    Also the rank of each code point, from 1 on; the first characters' ranks of the suffixes in that order, packed into
+    an integer each; and how many characters that is.
+    """
+    ranks = np.zeros(max(int(text.max(initial=0)) + 1, 1 << 16), np.int64)
+    ranks[text] = 1
+    distinct = np.flatnonzero(ranks)
+    ranks[distinct] = np.arange(1, len(distinct) + 1)
+    rank, bits = ranks[text], len(distinct).bit_length()
+    first = step = max(1, min(62 // max(1, bits), longest))  # as many characters as fit are the first rank
     packed = np.zeros(len(text) + step, np.int64)
     for k in range(step):
         packed[: max(0, len(text) - k)] |= rank[k:] << (bits * (step - 1 - k))
-    pair = packed[: len(text)]
+    pair = packed = packed[: len(text)]
     while True:
         order = np.argsort(pair)
         if step >= longest or step >= len(text):
-            return order
+            return order, ranks, packed[order], first
         rank = np.empty(len(text), np.int64)
         rank[order] = np.cumsum(np.concatenate([[1], np.diff(pair[order]) != 0]))
         nxt = np.zeros_like(rank)
@@ -98,7 +107,8 @@ class Encoder:
     Edges are sorted by position and relaxed from left to right. Merging is not a best path by summed scores, so
     relaxing takes, for each end, the one edge whose piece may follow the best encoding up to its start: a pair of
     pieces may stand side by side if merging their joint text leaves both. For each prefix of a text that is its last
-    token. A word begins at a space, since no piece has a space after another character.
+    token. All words are relaxed together, their k-th ends in one step; those of more than LONG_WORD characters one by
+    one. A word begins at a space, since no piece has a space after another character.
     """
 
     def __init__(self, path: str):
@@ -119,6 +129,8 @@ class Encoder:
         for k, p in enumerate(names):
             self.matrix[k, : len(p)] = [ord(c) for c in p]
         self.length = [len(p) for p in v.pieces]
+        self.lengths = np.array(self.length, np.int64)
+        self.table = np.full(1 << TABLE_BITS, -1, np.int64)  # twice a pair's key, and 1 if it stays
         self.allowed: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}  # the generation before, once CACHE_WORDS are held
@@ -168,12 +180,20 @@ class Encoder:
     def edges(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(end, piece) of every occurrence of every piece, sorted by end."""
         code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        order = suffix_array(code, self.longest)
+        order, ranks, packed, step = suffix_array(code, self.longest)
         padded = np.concatenate([code, np.zeros(self.longest, np.int64)])
 
-        low = np.zeros(len(self.matrix), np.int64)
-        high = np.full(len(self.matrix), len(order), np.int64)
-        for depth in range(self.longest):  # narrow each piece's range by its next character
+        own = ranks[np.minimum(self.matrix, len(ranks) - 1)] * (self.matrix < len(ranks))
+        bits = int(ranks.max()).bit_length()
+        key, whole = np.zeros(len(own), np.int64), np.ones(len(own), bool)  # the first characters as they are packed
+        for k in range(self.longest):
+            whole &= (own[:, k] > 0) | (self.piece_lengths <= k)
+            if k < step:
+                key |= np.where(self.piece_lengths > k, own[:, k], 0) << (bits * (step - 1 - k))
+        low = np.searchsorted(packed, key)
+        high = np.searchsorted(packed, key + (np.int64(1) << bits * (step - np.minimum(self.piece_lengths, step))))
+        high[~whole] = low[~whole]
+        for depth in range(step, self.longest):  # narrow longer pieces' ranges by their next characters
             live = np.flatnonzero((self.piece_lengths > depth) & (low < high))
             if not len(live):
                 break
@@ -193,49 +213,113 @@ class Encoder:
         sizes = np.maximum(high - low, 0)
         piece = np.repeat(np.arange(len(sizes)), sizes)
         begin = order[np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(piece))]
-        end = begin + self.piece_lengths[piece]
-        by = np.lexsort((-self.piece_lengths[piece], end))  # the longest first: it is the likeliest
-        return end[by], self.piece_ids[piece[by]]
+        lengths = self.piece_lengths[piece]
+        shift = 20 + self.longest.bit_length()
+        both = np.sort(begin + lengths << shift | self.longest - lengths << 20 | self.piece_ids[piece])  # the longest first: it is the likeliest
+        return both >> shift, both & 0xFFFFF
+
+    def fitting(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """``follows`` of each pair, by a table with a place for each hash of a pair, which the last such pair holds."""
+        key = before << 20 | piece
+        place = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        held = self.table[place]
+        new = np.flatnonzero(held >> 1 != key)
+        if len(new):
+            keys, back = np.unique(key[new], return_inverse=True)
+            known = self.allowed.get
+            fits = [self.follows(k >> 20, k & 0xFFFFF) if (fit := known(k)) is None else fit for k in keys.tolist()]
+            held[new] = (keys << 1 | np.array(fits, np.int64))[back]
+            self.table[place[new]] = held[new]
+        return (held & 1).astype(bool)
+
+    def relax(self, begin: np.ndarray, lengths: np.ndarray, last: np.ndarray, first: np.ndarray, piece: np.ndarray) -> None:
+        """Fill ``last`` for all those words at once, from their first characters on; ``first``: edges before each end."""
+        order = np.argsort(-lengths, kind="stable")
+        begin, lengths = begin[order], lengths[order]
+        for e in range(1, int(lengths.max(initial=0)) + 1):
+            at = begin[: np.searchsorted(-lengths, -e, "right")] + e
+            now, stop = first[at], first[at + 1]
+            token = np.full(len(at), -2)
+            open_ = np.flatnonzero(now < stop)
+            while len(open_):
+                p = piece[now[open_]]
+                before = last[at[open_] - self.lengths[p]]
+                fits = before < 0
+                ask = np.flatnonzero(~fits)
+                fits[ask] = self.fitting(before[ask], p[ask])
+                token[open_[fits]] = p[fits]
+                open_ = open_[~fits]
+                now[open_] += 1
+                open_ = open_[now[open_] < stop[open_]]
+            last[at] = token
+
+    def relax_long(self, base: int, stop: int, last: np.ndarray, first: np.ndarray, piece: np.ndarray) -> None:
+        """The same for one word, character by character."""
+        length, allowed = self.length, self.allowed
+        found, cuts = [-1], first[base + 1 : stop + 2].tolist()
+        pieces = piece[cuts[0] : cuts[-1]].tolist()
+        for e in range(1, stop - base + 1):
+            token = -2
+            for p in pieces[cuts[e - 1] - cuts[0] : cuts[e] - cuts[0]]:
+                before = found[e - length[p]]
+                if before >= 0:
+                    fits = allowed.get(before << 20 | p)
+                    if fits is None:
+                        fits = self.follows(before, p)
+                    if not fits:
+                        continue
+                token = p
+                break
+            found.append(token)
+        last[base : stop + 1] = found
+
+    def ids_of(self, text: str, last: list[int]) -> bytes:
+        """The ids of one word, from its last token to its first."""
+        ids: list[int] = []
+        e = len(text)
+        while e:
+            token = last[e]
+            if token == -2:
+                ids += [self.vocabulary.bytes[b] for b in reversed(text[e - 1].encode("utf-8", "surrogatepass"))]
+                e -= 1
+            else:
+                ids.append(token)
+                e -= self.length[token]
+        return array("I", ids[::-1]).tobytes()
 
     def encode_words(self, words: list[str]) -> None:
         """Put the ids of those words into the cache."""
-        for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
+        for i, j in text_slices(words, SLICE_CHARS):
+            some = words[i:j]
             text = "\0".join(some) + "\0"
-            end, piece = (x.tolist() for x in self.edges(text))
-            last: list[int] = [-1] * (len(text) + 1)  # the last token of the word's encoding up to there; -1: none
-            own, length, allowed = self.vocabulary, self.length, self.allowed
-            k, n, base = 0, len(end), 0
-            for word in some:
-                stop = base + len(word)
-                for e in range(base + 1, stop + 1):
-                    token = -2  # a character without a piece
-                    while k < n and end[k] == e:
-                        p = piece[k]
-                        k += 1
-                        before = last[e - length[p]]
-                        if before >= 0:
-                            fits = allowed.get(before << 20 | p)
-                            if fits is None:
-                                fits = self.follows(before, p)
-                            if not fits:
-                                continue
-                        token = p
-                        while k < n and end[k] == e:
-                            k += 1
-                    last[e] = token
-                ids: list[int] = []
-                e = stop
-                while e > base:
-                    token = last[e]
-                    if token == -2:
-                        ids += [own.bytes[b] for b in reversed(text[e - 1].encode("utf-8", "surrogatepass"))]
-                        e -= 1
-                    else:
-                        ids.append(token)
-                        e -= length[token]
-                self.words[word] = array("I", ids[::-1]).tobytes()
-                base = stop + 1
+            end, piece = self.edges(text)
+            first = np.concatenate([[0], np.cumsum(np.bincount(end, minlength=len(text) + 1))])  # edges that end before
+            last = np.full(len(text) + 1, -1)  # the last token of the word's encoding up to there; -1: none, -2: a character without a piece
+            lengths = np.fromiter(map(len, some), np.int64, len(some))
+            begin = np.cumsum(lengths + 1) - lengths - 1
+            short = lengths <= LONG_WORD
+            self.relax(begin[short], lengths[short], last, first, piece)
+            for k in np.flatnonzero(~short).tolist():
+                self.relax_long(int(begin[k]), int(begin[k] + lengths[k]), last, first, piece)
+
+            # All words are read off from their ends, a token of each at a time. Words with bytes are left for later.
+            at, live, rounds, plain = begin + lengths, np.flatnonzero(short), [], short.copy()
+            while len(live):
+                token = last[at[live]]
+                plain[live[token == -2]] = False
+                live, token = live[token >= 0], token[token >= 0]
+                rounds.append((live, token))
+                at[live] -= self.lengths[token]
+                live = live[at[live] > begin[live]]
+            sizes = np.bincount(np.concatenate([r[0] for r in rounds]), minlength=len(some)) if rounds else np.zeros(len(some), np.int64)
+            stops = np.cumsum(sizes)
+            ids = np.empty(int(sizes.sum()), "<u4")
+            for k, (own, token) in enumerate(rounds):
+                ids[stops[own] - 1 - k] = token
+            octets = ids.tobytes()
+            self.words.update((w, octets[a:b]) for w, a, b in zip(some, (4 * (stops - sizes)).tolist(), (4 * stops).tolist()))
+            for k in np.flatnonzero(~plain).tolist():
+                self.words[some[k]] = self.ids_of(some[k], last[begin[k] : begin[k] + lengths[k] + 1].tolist())
 
     def split(self, text: str) -> list[str]:
         """The words: runs of spaces with the characters after them."""

@@ -1,6 +1,7 @@
 """The pipeline's operators against brute force, the libraries, and odd tables."""
 
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -214,6 +215,33 @@ def test_sentencepiece_is_the_librarys(spark, odd, empty):
     assert sentencepiece.encode_documents(empty, path).count() == 0
 
 
+def test_sentencepiece_relaxes_words_together():
+    import sentencepiece as library
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    model, own, rng = library.SentencePieceProcessor(model_file=path), sentencepiece.Encoder(path), random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéЖд.,\n日😀\ud7ff"
+    long = ["x".join(rng.choices(letters, k=n)) for n in (31, 32, 33, 34, 500)] + ["a" * n for n in (62, 63, 64, 65, 66, 3000)]
+    words = ["".join(rng.choices(letters, k=rng.randrange(1, 14))) for _ in range(4000)] + long
+    text = " ".join(words)
+    assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == model.encode(text)
+    assert all(np.frombuffer(i, "<u4").tolist() == model.encode(w) for w, i in zip(long, own.encode(long)))
+    plain = [sentencepiece.SPACE + "".join(rng.choices("abcdefghijklmnopqrst", k=9)) for _ in range(4000)]
+    own.encode_words(plain)  # all pairs of pieces have been looked up
+    own.words.clear()
+    lines = 0
+
+    def trace(frame, event, _):
+        nonlocal lines
+        lines += event == "line"
+        return trace
+
+    sys.settrace(trace)
+    own.encode_words(plain)
+    sys.settrace(None)
+    assert lines < 10 * len(plain)  # lines of Python that ran; over 100 a word when each is relaxed by itself
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
