@@ -11,21 +11,22 @@ from __future__ import annotations
 import heapq
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import held_out, kept, lean
+from grainmill.llm.common import held_out, kept, lean, text_slices
 from grainmill.plans.shared import materialise
 
 END = b""  # a document's last token; no word is empty
 TAILS = 32
-FLUSH = 200_000
+SLICE_BYTES = 8_000_000
+ROWS = 2048
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -37,22 +38,34 @@ def tail_of(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % TAILS
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``(word, n, tail)``: how often each token stands in all of ``docs(text)``, counted in batches before the shuffle."""
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(from, to) ranges of texts with about SLICE_BYTES at most, so that memory is bounded."""
+    sizes = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + SLICE_BYTES, "right")))
+        yield start, stop
+        start = stop
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``words_of`` all those texts, one after the other, and how many each text has."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words, offsets = cut.values, cut.offsets.to_numpy()
+    held = np.flatnonzero(pc.binary_length(words).to_numpy(zero_copy_only=False))  # white space at either end cuts off empty ones
+    stops = np.searchsorted(held, offsets[1:])
+    words = pa.concat_arrays([words.cast(pa.binary()), pa.array([END], pa.binary())])
+    return words.take(pa.array(np.insert(held, stops, len(words) - 1))), np.diff(stops, prepend=0) + 1
+
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``(word, n, tail)``: how often each token stands in all of ``docs(text)``, counted in slices before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0):
-                counts.update(words_of(text.as_py()))
-                if len(counts) > FLUSH:
-                    yield out()
-                    counts.clear()
-        yield out()
+            for i, j in slices(batch.column(0)):
+                counts = words_in(batch.column(0).slice(i, j - i))[0].value_counts()
+                yield pa.RecordBatch.from_arrays(counts.flatten(), ["word", "n"])
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,10 +137,6 @@ class Encoder(dict):
         return self.size + tail_of(word)
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 class Model:
     """A gated recurrent unit; class softmax over head and tail classes, then a softmax inside a head class."""
 
@@ -156,14 +165,25 @@ class Model:
     def parameters(self) -> list[np.ndarray]:
         return [getattr(self, n) for n in self.NAMES]
 
-    def step(self, x: np.ndarray, h: np.ndarray):
-        n, gates = self.hidden, self.emb[x]
-        gates += self.bias
-        u = h @ self.wh
-        zr = sigmoid(gates[:, : 2 * n] + u[:, : 2 * n])
+    def gated(self, gates: np.ndarray, h: np.ndarray):
+        """The next state, and what backpropagation needs of the way there; ``gates`` are the inputs to them, with the bias."""
+        n, u = self.hidden, h @ self.wh
+        zr = gates[:, : 2 * n] + u[:, : 2 * n]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
         z, r, un = zr[:, :n], zr[:, n:], u[:, 2 * n :]
-        c = np.tanh(gates[:, 2 * n :] + r * un)
-        return c + z * (h - c), z, r, un, c
+        c = r * un
+        c += gates[:, 2 * n :]
+        np.tanh(c, out=c)
+        following = h - c
+        following *= z
+        following += c
+        return following, z, r, un, c
+
+    def step(self, x: np.ndarray, h: np.ndarray):
+        return self.gated(self.emb[x] + self.bias, h)
 
     def ready(self) -> None:
         """Lay the gates' weights out for inference: signs and factors of the exponentials are in them."""
@@ -191,86 +211,112 @@ class Model:
         following += c
         return following
 
-    def log_probability(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Natural log probabilities of symbols y. States lie within -1 and 1, so the exponentials can't overflow."""
-        logits = h @ self.out
-        logits += self.out_bias
-        own = self.class_of.take(y)
-        logp = logits[np.arange(len(y)), own]
-        np.exp(logits, out=logits)
-        logp -= np.log(logits.sum(1))
-        inside = np.flatnonzero(y < self.n_head)
-        inside = inside[np.argsort(own[inside], kind="stable")]
-        cuts = np.searchsorted(own[inside], np.arange(len(self.classes) + 1))
-        for c, ids in enumerate(self.classes):
-            rows = inside[cuts[c] : cuts[c + 1]]
-            if len(rows) and len(ids) > 1:
-                lo, hi = ids[0], ids[-1] + 1
-                inner = h[rows] @ self.word[lo:hi].T
-                inner += self.word_bias[lo:hi] - self.word_bias[lo]
-                at = inner[np.arange(len(rows)), y[rows] - lo]
-                np.exp(inner, out=inner)
-                logp[rows] += at - np.log(inner.sum(1))
-        return logp
+    def class_softmax(self, h: np.ndarray, own: np.ndarray, gradient: bool = False):
+        """Natural log probabilities of the classes ``own``, some rows at a time, so that they stay in the processor's cache.
+
+        With ``gradient`` also the gradients of their mean, negated. States lie within -1 and 1, so the exponentials can't
+        overflow.
+        """
+        logp, n = np.empty(len(own), np.float32), len(own)
+        ones = np.ones(self.n_classes, np.float32)
+        if gradient:
+            dh, g, back = np.empty_like(h), {"out": np.zeros_like(self.out), "out_bias": np.zeros_like(self.out_bias)}, np.ascontiguousarray(self.out.T)
+        for k in range(0, n, ROWS):
+            some, at = h[k : k + ROWS], own[k : k + ROWS]
+            p, row = some @ self.out, np.arange(len(at))
+            p += self.out_bias
+            value = p[row, at]
+            np.exp(p, out=p)
+            total = p @ ones
+            value -= np.log(total)
+            logp[k : k + ROWS] = value
+            if gradient:
+                total *= n
+                p *= (1 / total)[:, None]
+                p[row, at] -= 1 / n
+                g["out"] += some.T @ p
+                g["out_bias"] += p.sum(0)
+                np.matmul(p, back, out=dh[k : k + ROWS])
+        return (logp, dh, g) if gradient else logp
 
     def outputs(self, h: np.ndarray, y: np.ndarray, gradient: bool = False):
         """Natural log probabilities of symbols y; with ``gradient`` also the gradients of their mean, negated."""
-        logits = h @ self.out + self.out_bias
-        logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(1, keepdims=True)
-        own, row = self.class_of[y], np.arange(len(y))
-        logp = logits[row, own] - np.log(total[:, 0])
+        own, n = self.class_of.take(y), len(y)
         if gradient:
-            p /= total
-            p[row, own] -= 1
-            p /= len(y)
-            g = {"out": h.T @ p, "out_bias": p.sum(0), "word": np.zeros_like(self.word), "word_bias": np.zeros_like(self.word_bias)}
-            dh = p @ self.out.T
-        order = np.argsort(own, kind="stable")
-        cuts = np.searchsorted(own[order], np.arange(len(self.classes) + 1))
+            logp, dh, g = self.class_softmax(h, own, True)
+            g |= {"word": np.zeros_like(self.word), "word_bias": np.zeros_like(self.word_bias)}
+        else:
+            logp = self.class_softmax(h, own)
+        inside = np.flatnonzero(y < self.n_head)  # sorted by class, so that a class's rows are a slice
+        inside = inside[np.argsort(own[inside].astype(np.uint16 if self.n_classes < 1 << 16 else np.int32), kind="stable")]
+        cuts = np.searchsorted(own[inside], np.arange(len(self.classes) + 1)).tolist()
+        states, place, value = h[inside], y[inside], np.zeros(len(inside), np.float32)
+        dh_inside = np.zeros_like(states)
         for c, ids in enumerate(self.classes):
-            rows = order[cuts[c] : cuts[c + 1]]
-            if len(rows) and len(ids) > 1:
+            a, b = cuts[c], cuts[c + 1]
+            if a < b and len(ids) > 1:
                 lo, hi = ids[0], ids[-1] + 1  # a class is a run of the frequency order
-                inner = h[rows] @ self.word[lo:hi].T + self.word_bias[lo:hi]
-                inner -= inner.max(1, keepdims=True)
-                q = np.exp(inner)
-                t = q.sum(1, keepdims=True)
-                at = (np.arange(len(rows)), y[rows] - lo)
-                logp[rows] += inner[at] - np.log(t[:, 0])
+                words, some = self.word[lo:hi], states[a:b]
+                q = some @ words.T
+                q += self.word_bias[lo:hi] - self.word_bias[lo]
+                at = (np.arange(b - a), place[a:b] - lo)
+                own_ = q[at]
+                np.exp(q, out=q)
+                total = q.sum(1)
+                value[a:b] = own_ - np.log(total)
                 if gradient:
-                    q /= t
-                    q[at] -= 1
-                    q /= len(y)
-                    g["word"][lo:hi] += q.T @ h[rows]
-                    g["word_bias"][lo:hi] += q.sum(0)
-                    dh[rows] += q @ self.word[lo:hi]
+                    total *= n
+                    q *= (1 / total)[:, None]
+                    q[at] -= 1 / n
+                    g["word"][lo:hi] = q.T @ some
+                    g["word_bias"][lo:hi] = q.sum(0)
+                    np.matmul(q, words, out=dh_inside[a:b])
+        logp[inside] += value
+        if gradient:
+            dh[inside] += dh_inside
         return (logp, dh, g) if gradient else logp
 
+    def log_probability(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return self.outputs(h, y)
+
     def train_window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray):
         """Truncated backpropagation through a window (steps, streams); the state before it counts as given."""
-        n, steps = self.hidden, len(x)
-        states, kept = [h], []
+        n, (steps, streams) = self.hidden, x.shape
+        gates = self.emb.take(x.ravel(), 0)
+        gates += self.bias
+        gates = gates.reshape(steps, streams, 3 * n)
+        states, kept = np.empty((steps + 1, streams, n), np.float32), []
+        states[0] = h
         for t in range(steps):
-            h, *parts = self.step(x[t], h)
-            states.append(h)
+            h, *parts = self.gated(gates[t], states[t])
+            states[t + 1] = h
             kept.append(parts)
-        logp, dh, g = self.outputs(np.concatenate(states[1:]), y.ravel(), True)
-        dh = dh.reshape(steps, -1, n)
-        g |= {"wh": np.zeros_like(self.wh)}
-        dx, back = np.empty((steps, x.shape[1], 3 * n), np.float32), np.zeros_like(h)
+        logp, dh, g = self.outputs(states[1:].reshape(-1, n), y.ravel(), True)
+        dh = dh.reshape(steps, streams, n)
+        dx, du, back, turned = np.empty((steps, streams, 3 * n), np.float32), np.empty((steps, streams, 3 * n), np.float32), np.zeros_like(h), np.ascontiguousarray(self.wh.T)
         for t in range(steps - 1, -1, -1):
             z, r, un, c = kept[t]
-            d = dh[t] + back
-            dc = d * (1 - z) * (1 - c * c)
-            dz = d * (states[t] - c) * z * (1 - z)
-            dr = dc * un * r * (1 - r)
-            dx[t] = np.concatenate([dz, dr, dc], 1)
-            du = np.concatenate([dz, dr, dc * r], 1)
-            g["wh"] += states[t].T @ du
-            back = d * z + du @ self.wh.T
+            d, own, own_u = dh[t], dx[t], du[t]
+            d += back
+            dz, dr, dc = own[:, :n], own[:, n : 2 * n], own[:, 2 * n :]
+            rest = 1 - z
+            np.multiply(d, rest, out=dc)
+            rest *= z
+            np.subtract(states[t], c, out=dz)
+            dz *= rest
+            dz *= d
+            c *= c
+            dc *= np.subtract(1, c, out=c)
+            np.multiply(dc, r, out=own_u[:, 2 * n :])
+            un *= dc
+            un *= r
+            np.multiply(un, np.subtract(1, r), out=dr)
+            own_u[:, : 2 * n] = own[:, : 2 * n]
+            d *= z
+            back = own_u @ turned
+            back += d
         flat = dx.reshape(-1, 3 * n)
+        g["wh"] = states[:-1].reshape(-1, n).T @ du.reshape(-1, 3 * n)
         g["bias"] = flat.sum(0)
         g["emb"] = (x.ravel(), flat)
         return float(logp.mean()), h, g
@@ -303,9 +349,10 @@ def train(model: Model, stream: np.ndarray, streams: int = 128, steps: int = 16,
             for name, p, m in zip(model.NAMES, model.parameters(), memory):
                 if name == "emb":
                     ids, rows_g = g["emb"]
-                    order = np.argsort(ids, kind="stable")
-                    starts = np.flatnonzero(np.diff(ids[order], prepend=-1))
-                    used, sums = ids[order][starts], np.add.reduceat(rows_g[order], starts, axis=0)
+                    order = np.argsort(ids.astype(np.uint16) if model.symbols < 1 << 16 else ids, kind="stable")
+                    ids = ids[order]
+                    starts = np.flatnonzero(np.diff(ids, prepend=-1))
+                    used, sums = ids[starts], np.add.reduceat(rows_g.take(order, 0), starts, axis=0)
                     m[used] += sums * sums
                     p[used] -= rate * sums / np.sqrt(m[used])
                 else:
@@ -314,8 +361,15 @@ def train(model: Model, stream: np.ndarray, streams: int = 128, steps: int = 16,
     return float(np.mean(seen[-50:])) if seen else 0.0
 
 
-def encoded(encoder: Encoder, batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.fromiter(map(encoder.__getitem__, words_of(t.as_py())), "<i4") for t in batch.column(0)]
+def symbol_type(symbols: int) -> str:
+    """As small as holds every symbol and the one that starts a document."""
+    return "<u2" if symbols + 1 < 1 << 16 else "<i4"
+
+
+def draws(rounds: int) -> list[Column]:
+    """Of rows with doc_id and text: what picks the start's documents, the order of those, and the round of training."""
+    pick, part = (F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(n)) for seed, n in ((0, 1_000_000), (2, rounds)))
+    return [pick.alias("pick"), F.xxhash64("doc_id", F.lit(1)).alias("place"), part.alias("round")]
 
 
 def train_all(model: Model, texts: Iterator[list[np.ndarray]], memory: list[np.ndarray], chunk: int = 1_000_000) -> int:
@@ -361,7 +415,20 @@ def mean_models(trained: DataFrame, fan_in: int = 4) -> tuple[int, np.ndarray |
 
 
 def fit(docs: DataFrame, vocabulary: Vocabulary, hidden: int = 32, warm_tokens: int = 1_200_000, passes: int = 2, rounds: int = 4) -> Model:
-    """Train on every document of ``docs(doc_id, text)``, whatever the size of the table.
+    """Train on every document of ``docs(doc_id, text)``, as ``fit_symbols`` does."""
+    encoder, kind = Encoder(vocabulary), symbol_type(len(vocabulary.head) + TAILS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.array([*map(encoder.__getitem__, words_of(t.as_py()))], kind).tobytes() for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), *batch.columns[1:]], ["ids", "pick", "place", "round"])
+
+    rows = docs.select("text", *draws(rounds)).mapInArrow(lean(run), "ids binary, pick long, place long, round long")
+    return fit_symbols(materialise(rows, "symbols"), vocabulary, hidden, warm_tokens, passes, rounds)
+
+
+def fit_symbols(docs: DataFrame, vocabulary: Vocabulary, hidden: int, warm_tokens: int, passes: int = 2, rounds: int = 4) -> Model:
+    """Train on every document of ``docs(ids, pick, place, round)``, whatever the size of the table; ids are symbols.
 
     The model starts from documents with about ``warm_tokens`` tokens, picked by a hash of id and text, so that the models
     of the partitions lie close together. Then each partition trains on all its documents, in ``rounds`` parts by
@@ -373,18 +440,10 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, hidden: int = 32, warm_tokens:
     model.trained_tokens = 0
     if not vocabulary.tokens:
         return model
-    encoder = Encoder(vocabulary)
-    share = min(1.0, warm_tokens / vocabulary.tokens)
-    draw = lambda seed, n: F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(n))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([i.tobytes() for i in encoded(encoder, batch)], pa.binary()), batch.column(1)], ["ids", "place"])
-
-    picked = docs.where(draw(0, 1_000_000) < int(share * 1_000_000) + 1).select("text", F.xxhash64("doc_id", F.lit(1)).alias("place"))
-    rows = picked.mapInArrow(run, "ids binary, place long").orderBy("place", "ids").collect()  # about 4 bytes a token
+    share, kind = min(1.0, warm_tokens / vocabulary.tokens), symbol_type(model.symbols)
+    rows = docs.where(F.col("pick") < int(share * 1_000_000) + 1).select("ids", "place").orderBy("place", "ids").collect()  # some bytes a token
     memory = fresh_memory(model)
-    train(model, np.frombuffer(b"".join(bytes(r["ids"]) for r in rows), "<i4"), passes=passes, memory=memory)
+    train(model, np.frombuffer(b"".join(bytes(r["ids"]) for r in rows), kind).astype(np.int32), passes=passes, memory=memory)
     del rows
     sizes = np.cumsum([p.size for p in model.parameters() + memory])[:-1]
 
@@ -406,12 +465,12 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, hidden: int = 32, warm_tokens:
             own.end = words.head.get(END, 0)
             sums = fresh_memory(own)
             load(own, sums, values)
-            encode = Encoder(words)
-            tokens = train_all(own, (encoded(encode, batch) for batch in batches), sums)
+            symbols = ([np.frombuffer(x.as_buffer(), kind).astype(np.int32) for x in batch.column(0)] for batch in batches)
+            tokens = train_all(own, symbols, sums)
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([tokens], pa.int64()), pa.array([flat(own, sums).tobytes()], pa.binary())], ["part", "tokens", "weights"])
 
-        some = docs.where(draw(2, rounds) == k).select("text")
+        some = docs.where(F.col("round") == k).select("ids")
         tokens, values = mean_models(materialise(some.mapInArrow(lean(part), "part long, tokens long, weights binary"), "models"))
         if tokens:
             load(model, memory, values)
@@ -471,9 +530,9 @@ def score_batch(model: Model, symbols: list[np.ndarray], most_lanes: int = 384,
     return totals[:-1] / np.log(10)
 
 
-def logs(name: str, counts) -> dict[bytes, float]:
-    """log10(n + 1) of the words of a broadcast count table, made once per Python worker."""
-    return kept(name, lambda: dict(zip(counts.value, np.log10(np.fromiter(counts.value.values(), float) + 1).tolist())))
+def at_hand(name: str, words) -> pa.Array:
+    """The broadcast words, laid out once per Python worker."""
+    return kept(name, lambda: pa.array(words.value, pa.binary()))
 
 
 def score_documents(docs: DataFrame, head: int = 1552, hidden: int = 24, warm_tokens: int = 1_200_000, known_words: int = 262_144) -> DataFrame:
@@ -482,66 +541,73 @@ def score_documents(docs: DataFrame, head: int = 1552, hidden: int = 24, warm_to
     Held out are rows whose crc32(doc_id) leaves 2 by 7 (a null id counts as empty text); the others are trained on.
     base_score is the smoothed unigram's log10 probability, score the model's. The ``known_words`` most frequent words'
     counts, a bounded table, are at hand where the text is read; of rarer words, (document, word, times) rows meet their
-    counts in a join, so that no table that grows is broadcast. Null texts count as empty, with the end as only token; rows that repeat an id are each scored; other
-    columns are ignored; an empty table gives no rows.
+    counts in a join, so that no table that grows is broadcast. Texts are read twice, to count words and to turn them into
+    symbols, two bytes each on disk, which training and scoring read. Null texts count as empty, with the end as only
+    token; rows that repeat an id are each scored; other columns are ignored; an empty table gives no rows.
     """
+    rounds = 4
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     training = rows.where(~held_out(F.col("doc_id"), 7))
     counts = materialise(word_counts(training), "counts")
     vocabulary = Vocabulary.of(counts, head)
-    model = fit(training, vocabulary, hidden, warm_tokens)
-    encoder = Encoder(vocabulary)
     n_head, space = len(vocabulary.head), vocabulary.tokens + vocabulary.words + 1
-    name = uuid.uuid4().hex
+    name, kind = uuid.uuid4().hex, symbol_type(n_head + TAILS)
     log_space = float(np.log10(space))
-    frequent = {bytes(r["word"]): r["n"] for r in frequent_words(counts, known_words).select("word", "n").collect()}
-    frequent = docs.sparkSession.sparkContext.broadcast({w: n for w, n in frequent.items() if w not in vocabulary.head})
-    base_of = np.append(np.log10(vocabulary.counts + 1) - log_space, np.zeros(TAILS))
+    frequent = [(bytes(r["word"]), r["n"]) for r in frequent_words(counts, known_words).select("word", "n").collect()]
+    frequent = [(w, n) for w, n in frequent if w not in vocabulary.head]
     rest = np.log10(vocabulary.tail_tokens + vocabulary.tail_words + 1)
+    # Of the words at hand, head words first, by place; the last is for words that are not: symbol, log count, share in its class.
+    tails = np.array([tail_of(w) for w, _ in frequent], np.int64)
+    symbol_of = np.concatenate([np.arange(n_head), n_head + tails, [0]]).astype(kind)
+    times_of = np.append(np.log10(np.concatenate([vocabulary.counts, np.array([n for _, n in frequent], float)]) + 1), 0.0)
+    share_of = np.concatenate([np.zeros(n_head), times_of[n_head:-1] - rest[tails], [0.0]])
+    sent = docs.sparkSession.sparkContext.broadcast([*vocabulary.head, *(w for w, _ in frequent)])
+    del frequent
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, k = TaskContext.get().partitionId() << 36, 0
-        at_hand = logs(name, frequent)
-        held, size = [], 0
-
-        def out() -> pa.RecordBatch:
-            ids, docs_, symbols, tails, shares, seen, times = zip(*held)
-            scores = score_batch(model, list(symbols))
-            known = [int((s < n_head).sum()) + k for s, k in zip(symbols, seen)]
-            base = [float(base_of[s].sum()) + share - n * log_space for s, share, n in zip(symbols, shares, times)]
-            score = [float(x - rest[s[s >= n_head] - n_head].sum()) + share for x, s, share in zip(scores, symbols, shares)]
-            rare = [[{"word": w, "times": n} for w, n in t.items()] for t in tails]
-            longs = lambda x: pa.array(x, pa.int64())
-            return pa.RecordBatch.from_arrays([longs(ids), longs(docs_), longs([len(s) for s in symbols]), longs(known), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))], ["row", "doc_id", "n_tokens", "known", "base", "score", "rare"])
-
+        row, own = TaskContext.get().partitionId() << 36, at_hand(name, sent)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                words = words_of(text.as_py())
-                symbols = np.fromiter(map(encoder.__getitem__, words), np.int32, len(words))
-                rare: Counter[bytes] = Counter()
-                share, seen, times = 0.0, 0, 0
-                for word in [words[i] for i in np.flatnonzero(symbols >= n_head).tolist()]:
-                    n = at_hand.get(word)
-                    if n is None:
-                        rare[word] += 1
-                    else:
-                        share, seen = share + n, seen + 1
-                    times += 1
-                held.append((task | k, doc_id.as_py(), symbols, rare, share, seen, times))
-                k, size = k + 1, size + len(words)
-                if size > 1_000_000:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
-
-    ddl = "row long, doc_id long, n_tokens long, known long, base double, score double, rare array<struct<word:binary,times:long>>"
-    read_ = materialise(rows.mapInArrow(lean(read, keeps=True), ddl), "scored")
+            for i, j in slices(batch.column(0)):
+                n = j - i
+                words, sizes = words_in(batch.column(0).slice(i, n))
+                places = pc.index_in(words, value_set=own).fill_null(-1).to_numpy()
+                starts, stops = np.cumsum(sizes) - sizes, np.cumsum(sizes)
+                symbols, shares = symbol_of[places], share_of[places]
+                lost = np.flatnonzero(places < 0)
+                rare = words.take(pa.array(lost)).dictionary_encode()
+                codes, names = rare.indices.to_numpy(), rare.dictionary
+                tail = np.fromiter(map(tail_of, names.to_pylist()), np.int64, len(names))[codes]
+                symbols[lost], shares[lost] = n_head + tail, -rest[tail]
+                doc = np.searchsorted(stops, lost, "right")
+                found, times = np.unique(doc * max(1, len(names)) + codes, return_counts=True)  # a rare word of a document once
+                cuts = np.searchsorted(found, np.arange(n + 1) * max(1, len(names)))
+                pairs = pa.StructArray.from_arrays([names.take(pa.array(found % max(1, len(names)))), pa.array(times)], ["word", "times"])
+                base = np.add.reduceat(times_of[places], starts) - sizes * log_space
+                octets = np.concatenate([[0], stops * symbols.itemsize]).astype(np.int32)
+                ids = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(octets), pa.py_buffer(symbols)])
+                known = sizes - np.bincount(doc, minlength=n)
+                columns = [row + np.arange(n), *(c.slice(i, n) for c in batch.columns[1:]), sizes, known, base, np.add.reduceat(shares, starts), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pairs), ids]
+                row += n
+                yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], ["row", "doc_id", "pick", "place", "round", "n_tokens", "known", "base", "share", "rare", "ids"])
+
+    ddl = "row long, doc_id long, pick long, place long, round long, n_tokens long, known long, base double, share double, rare array<struct<word:binary,times:long>>, ids binary"
+    read_ = materialise(rows.select("text", "doc_id", *draws(rounds)).mapInArrow(lean(read, keeps=True), ddl), "symbols")
+    model = fit_symbols(read_.where(~held_out(F.col("doc_id"), 7)).select("ids", "pick", "place", "round"), vocabulary, hidden, warm_tokens, rounds=rounds)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.frombuffer(x.as_buffer(), kind).astype(np.int32) for x in batch.column(5)]
+            for i, j in text_slices(ids, 1_000_000):
+                scores = score_batch(model, ids[i:j]) + batch.column(6).slice(i, j - i).to_numpy()
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:5]), pa.array(scores, pa.float64())], ["row", "doc_id", "n_tokens", "known", "base", "score"])
+
+    scored = read_.select("row", "doc_id", "n_tokens", "known", "base", "ids", "share").mapInArrow(lean(score), "row long, doc_id long, n_tokens long, known long, base double, score double")
+    scored = materialise(scored, "scored")
     rare = read_.select("row", F.explode("rare").alias("t")).select("row", "t.word", "t.times")
     joined = rare.join(counts.select("word", "n"), "word")
     sums = joined.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1) * F.col("times")).alias("share"), F.sum("times").alias("seen"))
-    out = read_.drop("rare").join(sums, "row", "left")
+    out = scored.join(sums, "row", "left")
     share, seen = F.coalesce("share", F.lit(0.0)), F.coalesce("seen", F.lit(0))  # a word that training lacks adds log10(1)
     return out.select("doc_id", held_out(F.col("doc_id"), 7).alias("held_out"), "n_tokens", (F.col("known") + seen).alias("n_known"), F.lit(vocabulary.tokens).cast("long").alias("train_tokens"), (F.col("base") + share).alias("base_score"), (F.col("score") + share).alias("score"))

@@ -5,6 +5,7 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -388,6 +389,31 @@ def test_very_long_texts_are_packed_and_stored(spark):
             assert b"".join(bytes(p["ids"]) for p in pieces) == ids.tobytes()
 
 
+def test_language_model_reads_texts_twice(spark):
+    rng = random.Random(17)
+    frame = spark.createDataFrame([(k, prose(rng, 30)) for k in range(200)], "doc_id long, text string")
+    rows = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    assert language_model.score_documents(frame.mapInArrow(count, "doc_id long, text string"), head=20, hidden=8).count() == 200
+    assert 0 < rows.value <= 2 * 200  # once to count words, once to turn them into symbols; it was once a round too
+
+
+def test_words_in_texts_are_those_of_each(spark, monkeypatch):
+    texts = [t for _, t, *_ in ODD] + ["", " ", "a", " A\tb\x0bC\x0c\r\n", "x\x1cy\x85z\xa0w\u2003v", "İ ÀÉ ẞ", "\x00 \x00", "a  b   c", None, "Z" * 50]
+    monkeypatch.setattr(language_model, "SLICE_BYTES", 20)
+    array = pa.array(texts, pa.string())
+    assert [x for i, j in language_model.slices(array) for x in array.slice(i, j - i).to_pylist()] == texts
+    for a in (array, array.slice(2, 11), array.slice(0, 0)):
+        words, sizes = language_model.words_in(a)
+        assert words.to_pylist() == [w for t in a.to_pylist() for w in language_model.words_of(t)]
+        assert sizes.tolist() == [len(language_model.words_of(t)) for t in a.to_pylist()]
+
+
 def test_a_score_is_that_of_the_document_alone(spark):
     rng = random.Random(21)
     texts = [prose(rng, n) for n in (0, 1, 5, 40, 700, 3)] * 3
