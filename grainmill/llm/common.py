@@ -12,12 +12,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 CACHE_WORDS = 100_000
 SEEN = 1 << 20
+SLICE_BYTES = 16_000_000
 LONG = 1_000_000
 MARKS = "".join(map(chr, [*range(33, 39), *range(40, 48), 58, 59, 61, 63, 64, *range(91, 97), 123, 125, 126]))  # no token joins them to letters
 PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
@@ -51,7 +53,8 @@ EXOTIC_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u20
 class _Units(dict):
     """Unit of text, after ``lead`` -> its ids as little-endian unsigned 32-bit bytes."""
 
-    latin = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+    latin_letters = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
+    latin = re.compile(latin_letters).fullmatch
 
     def __init__(self, tokenizer, lead: str, keeps_space: bool):
         self.tokenizer, self.model, self.lead, self.keeps_space = tokenizer, tokenizer.model, lead, keeps_space
@@ -117,6 +120,7 @@ class UnitTokenizer:
 
         self.cache = _Units(Tokenizer.from_file(path), " " if keeps_space else "", keeps_space)
         self.cut = re.compile(r"(?<=\S) (?=\S)")
+        self.odd = rf"  | \n|\n | \z|[{EXOTIC_SPACE}]"  # texts that can't be cut before every space
 
     def units(self, text: str) -> list[str]:
         if "  " in text or " \n" in text or "\n " in text or text[-1:] == " " or any(map(text.__contains__, EXOTIC_SPACE)):
@@ -135,6 +139,50 @@ class UnitTokenizer:
         first, *others = self.units(text[start:])
         return b"".join([*ids, cache[first], *map(self.cache.__getitem__, others)])
 
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """``encode`` of each text; a unit is looked up once for all texts of about SLICE_BYTES."""
+        for i, j in array_slices(texts, SLICE_BYTES):
+            yield from self._encode_slice(texts.slice(i, j - i).fill_null(""))
+
+    def _encode_slice(self, texts: pa.Array) -> Iterator[bytes]:
+        odd = pc.greater(pc.binary_length(texts), 2 * LONG)
+        if self.cache.keeps_space:
+            odd = pc.or_(odd, pc.match_substring_regex(texts, self.odd))
+        odd = odd.to_numpy(zero_copy_only=False)
+        plain = texts.filter(pa.array(~odd))
+        if self.cache.keeps_space:
+            cut = pc.split_pattern(plain, " ")
+        else:  # as ``encode`` does; all white space is dropped, so each is cut at
+            ascii_ = pc.equal(pc.binary_length(plain), pc.utf8_length(plain))
+            cut = pc.ascii_split_whitespace(pc.if_else(ascii_, pc.ascii_lower(plain), plain))
+        places, units = cut.offsets.to_numpy(), cut.values
+        first = units.take(pa.array(places[:-1])).to_pylist()  # has no space before it
+        units = units.dictionary_encode()
+
+        # Latin words and the marks at their ends are looked up apart, as ``_Units`` does.
+        names = units.dictionary
+        word = pc.utf8_rtrim(names, characters=MARKS)
+        apart = pc.and_(pc.match_substring_regex(word, rf"\A{_Units.latin_letters}\z"), pc.not_equal(word, names))
+        sizes = pc.utf8_length(word).filter(apart).to_pylist()
+        marks = pa.array([n[k:] for n, k in zip(names.filter(apart).to_pylist(), sizes)], pa.string()).dictionary_encode()
+        words = pc.if_else(apart, word, names).dictionary_encode()
+        ids = [*map(self.cache.bare.__getitem__, first), *map(self.cache.__getitem__, words.dictionary.to_pylist())]
+        ids += [*map(self.cache.bare.__getitem__, marks.dictionary.to_pylist()), b""]
+        ends = np.full(len(names), len(ids) - 1, np.int32)
+        ends[apart.to_numpy(zero_copy_only=False)] = len(first) + len(words.dictionary) + marks.indices.to_numpy()
+        both = np.stack([words.indices.to_numpy() + np.int32(len(first)), ends], axis=1)[units.indices.to_numpy()]
+        both[places[:-1], 0], both[places[:-1], 1] = np.arange(len(first)), len(ids) - 1
+
+        found = pa.array(ids, pa.large_binary()).take(pa.array(both.ravel()))
+        cuts, octets = np.frombuffer(found.buffers()[1], np.int64)[2 * places].tolist(), memoryview(found.buffers()[2] or b"")
+        done = zip(cuts, cuts[1:])
+        for k, other in enumerate(odd.tolist()):
+            if other:
+                yield self.encode(texts[k].as_py())
+            else:
+                begin, end = next(done)
+                yield bytes(octets[begin:end])
+
 
 _KEPT: dict = {}
 
@@ -217,3 +265,13 @@ def text_slices(texts: list[str], most_bytes: int = 4_000_000):
             start, size = k + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def array_slices(texts: pa.Array, most_bytes: int) -> Iterator[tuple[int, int]]:
+    """The same for an Arrow array, by bytes; a range has at most that many, or one text."""
+    sizes = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + most_bytes, "right")))
+        yield start, stop
+        start = stop

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import held_out, kept, lean, text_slices
+from grainmill.llm.common import array_slices, held_out, kept, lean, text_slices
 from grainmill.plans.shared import materialise
 
 END = b""  # a document's last token; no word is empty
@@ -38,16 +38,6 @@ def tail_of(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % TAILS
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """(from, to) ranges of texts with about SLICE_BYTES at most, so that memory is bounded."""
-    sizes = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    start = 0
-    while start < len(texts):
-        stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + SLICE_BYTES, "right")))
-        yield start, stop
-        start = stop
-
-
 def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """``words_of`` all those texts, one after the other, and how many each text has."""
     cut = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
@@ -63,7 +53,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in slices(batch.column(0)):
+            for i, j in array_slices(batch.column(0), SLICE_BYTES):
                 counts = words_in(batch.column(0).slice(i, j - i))[0].value_counts()
                 yield pa.RecordBatch.from_arrays(counts.flatten(), ["word", "n"])
 
@@ -569,7 +559,7 @@ def score_documents(docs: DataFrame, head: int = 1552, hidden: int = 24, warm_to
 
         row, own = TaskContext.get().partitionId() << 36, at_hand(name, sent)
         for batch in batches:
-            for i, j in slices(batch.column(0)):
+            for i, j in array_slices(batch.column(0), SLICE_BYTES):
                 n = j - i
                 words, sizes = words_in(batch.column(0).slice(i, n))
                 places = pc.index_in(words, value_set=own).fill_null(-1).to_numpy()

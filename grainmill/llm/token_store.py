@@ -147,8 +147,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, kee
         with files.open_output_stream(aside) as sink:
             shard = ShardWriter(sink, planes)
             for batch in batches:
-                for doc_id, text in zip(batch.column(0), batch.column(1)):
-                    ids = encoder.encode(text.as_py()) + end
+                for doc_id, ids in zip(batch.column(0), encoder.encode_all(batch.column(1))):
+                    ids += end
                     shard.add(doc_id.as_py(), ids)
                     n_docs, n_tokens = n_docs + 1, n_tokens + len(ids) // 4
             shard.close()

@@ -11,7 +11,8 @@ import xxhash
 from tokenizers import Tokenizer
 
 from grainmill.llm import ann, language_model, packing, pivots, sentencepiece, simhash, substring_dedup, token_store, toxicity, url_filter
-from grainmill.llm.common import tokenizer_path, unit_tokenizer
+from grainmill.llm import common
+from grainmill.llm.common import array_slices, tokenizer_path, unit_tokenizer
 
 DOCS = "doc_id long, text string, ids string, score int, fingerprint string"
 ODD = [(1, None, "x", 1, "y"), (None, "a text without an id", "x", 1, "y"), (2, "", None, None, None), (3, "same words here", "x", 1, "y"), (3, "same words here", "x", 1, "y"), (4, "word " * 3000, "x", 1, "y"), (5, " \n\t ", "x", 1, "y"), (6, "Ünïcödé  日本語 \x00 😀 <|endoftext|>", "x", 1, "y")]
@@ -40,6 +41,23 @@ def test_units_give_the_librarys_ids(name, keeps):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize(("name", "keeps"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+@pytest.mark.parametrize("most", [8_000_000, 300, 1])
+def test_units_of_many_texts_are_looked_up_once(name, keeps, most, monkeypatch):
+    rng = random.Random(5)
+    texts = [prose(rng, 100) for _ in range(20)] + [t for _, t, *_ in ODD] + ["", " ", " a", "a ", "a  b", "a \nb", "a\n b", "A\tB c", "x\u3000y z", "x\x85y", "É A é", "I\u0307 İ A\u0301", "a|b | c", "same Same SAME", None, "\n", "x\n"]
+    monkeypatch.setattr(common, "SLICE_BYTES", most)
+    library, own = Tokenizer.from_file(tokenizer_path(name)), common.UnitTokenizer(tokenizer_path(name), keeps)
+    for a in (pa.array(texts), pa.array(texts).slice(3, 30), pa.array([], pa.string()), pa.array(["  ", "\t"])):
+        for text, ids in zip(a.to_pylist(), own.encode_all(a), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+    if most > 1000:
+        asked, own = [], common.UnitTokenizer(tokenizer_path(name), keeps)
+        own.cache.__class__ = type("Counted", (type(own.cache),), {"__getitem__": lambda d, k: asked.append(k) or super(type(d), d).__getitem__(k)})
+        list(own.encode_all(pa.array(["one two three two"] * 500)))
+        assert len(asked) <= 500 + 10  # beyond first words, whatever the number of texts
+
+
 def check_pieces(rows, docs, size):
     library = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
     by_doc, by_sequence = {}, {}
@@ -403,11 +421,10 @@ def test_language_model_reads_texts_twice(spark):
     assert 0 < rows.value <= 2 * 200  # once to count words, once to turn them into symbols; it was once a round too
 
 
-def test_words_in_texts_are_those_of_each(spark, monkeypatch):
+def test_words_in_texts_are_those_of_each():
     texts = [t for _, t, *_ in ODD] + ["", " ", "a", " A\tb\x0bC\x0c\r\n", "x\x1cy\x85z\xa0w\u2003v", "İ ÀÉ ẞ", "\x00 \x00", "a  b   c", None, "Z" * 50]
-    monkeypatch.setattr(language_model, "SLICE_BYTES", 20)
     array = pa.array(texts, pa.string())
-    assert [x for i, j in language_model.slices(array) for x in array.slice(i, j - i).to_pylist()] == texts
+    assert [x for i, j in array_slices(array, 20) for x in array.slice(i, j - i).to_pylist()] == texts
     for a in (array, array.slice(2, 11), array.slice(0, 0)):
         words, sizes = language_model.words_in(a)
         assert words.to_pylist() == [w for t in a.to_pylist() for w in language_model.words_of(t)]
