@@ -21,6 +21,7 @@ CACHE_WORDS = 100_000
 SEEN = 1 << 20
 SLICE_BYTES = 16_000_000
 LONG = 1_000_000
+JOINED = 1 << 18
 MARKS = "".join(map(chr, [*range(33, 39), *range(40, 48), 58, 59, 61, 63, 64, *range(91, 97), 123, 125, 126]))  # no token joins them to letters
 PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
@@ -170,18 +171,27 @@ class UnitTokenizer:
         ids += [*map(self.cache.bare.__getitem__, marks.dictionary.to_pylist()), b""]
         ends = np.full(len(names), len(ids) - 1, np.int32)
         ends[apart.to_numpy(zero_copy_only=False)] = len(first) + len(words.dictionary) + marks.indices.to_numpy()
-        both = np.stack([words.indices.to_numpy() + np.int32(len(first)), ends], axis=1)[units.indices.to_numpy()]
-        both[places[:-1], 0], both[places[:-1], 1] = np.arange(len(first)), len(ids) - 1
+        found = pa.array(ids, pa.large_binary())
+        both = pc.binary_join_element_wise(found.take(pa.array(words.indices.to_numpy() + np.int32(len(first)))), found.take(pa.array(ends)), pa.scalar(b"", found.type))
+        found, at = pa.concat_arrays([found.slice(0, len(first)), both]), units.indices.to_numpy() + np.int32(len(first))
+        at[places[:-1]] = np.arange(len(first))
+        del plain, cut, units, names, word, words, ids, both  # only what the texts need is held while they are yielded
 
-        found = pa.array(ids, pa.large_binary()).take(pa.array(both.ravel()))
-        cuts, octets = np.frombuffer(found.buffers()[1], np.int64)[2 * places].tolist(), memoryview(found.buffers()[2] or b"")
-        done = zip(cuts, cuts[1:])
+        done = _joined(found, at, places)
         for k, other in enumerate(odd.tolist()):
-            if other:
-                yield self.encode(texts[k].as_py())
-            else:
-                begin, end = next(done)
-                yield bytes(octets[begin:end])
+            yield self.encode(texts[k].as_py()) if other else next(done)
+
+
+def _joined(found: pa.Array, at: np.ndarray, places: np.ndarray) -> Iterator[bytes]:
+    """For each text, the octets of its units ``found[at]`` one after the other; at most about JOINED units at a time."""
+    i, last = 0, len(places) - 1
+    while i < last:
+        j = max(i + 1, int(np.searchsorted(places, places[i] + JOINED, "right")) - 1)
+        some = found.take(pa.array(at[places[i] : places[j]]))
+        cuts, octets = np.frombuffer(some.buffers()[1], np.int64)[places[i : j + 1] - places[i]].tolist(), memoryview(some.buffers()[2] or b"")
+        for begin, end in zip(cuts, cuts[1:]):
+            yield bytes(octets[begin:end])
+        i = j
 
 
 _KEPT: dict = {}

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import lean, unit_tokenizer
+from grainmill.llm.common import UnitTokenizer, lean, unit_tokenizer
 from grainmill.plans.shared import materialise
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_()), ("task", pa.int64())])
@@ -64,6 +64,15 @@ class Windows:
             yield from self._emit(window, still_open)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], encoder: UnitTokenizer, end: bytes, windows: Windows) -> Iterator[tuple]:
+    """The pieces of a partition's documents, those in windows that stay open last; words are looked up by slices of texts."""
+    for batch in batches:
+        for doc_id, ids in zip(batch.column(0), encoder.encode_all(batch.column(1))):
+            ids += end
+            yield from windows.add(doc_id.as_py(), 0, ids, len(ids) // 4)
+    yield from windows.rest(True)
+
+
 def _batches(rows: Iterator[tuple], task: int) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for row in rows:
@@ -100,16 +109,7 @@ def pack(docs: DataFrame, tokenizer: str, keeps_space: bool = True, end_id: int
 
         task = TaskContext.get().partitionId()
         encoder, end = unit_tokenizer(tokenizer, keeps_space), np.array([end_id], "<u4").tobytes()
-        windows = Windows(size, most_open, task << 32)
-
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                for doc_id, text in zip(batch.column(0), batch.column(1)):
-                    ids = encoder.encode(text.as_py() or "") + end
-                    yield from windows.add(doc_id.as_py(), 0, ids, len(ids) // 4)
-            yield from windows.rest(True)
-
-        yield from _batches(rows(), task)
+        yield from _batches(_pieces(batches, encoder, end, Windows(size, most_open, task << 32)), task)
 
     def merge(level: int, last: bool):
         def run(key, leftover: pd.DataFrame) -> pd.DataFrame:

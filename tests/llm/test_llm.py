@@ -93,6 +93,29 @@ def test_packing_odd(spark, odd, empty):
     assert packing.pack(empty, tokenizer_path("byte_bpe_50k.json")).count() == 0
 
 
+def test_packing_looks_words_up_once_for_many_texts():
+    path = tokenizer_path("byte_bpe_50k.json")
+    asked, own = [], common.UnitTokenizer(path, True)
+    own.cache.__class__ = type("Counted", (type(own.cache),), {"__getitem__": lambda d, k: asked.append(k) or super(type(d), d).__getitem__(k)})
+    texts = ["one two three two", None, "", "four  five\n"] * 200
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [*range(k, k + 400)], "text": texts[k : k + 400]}) for k in (0, 400)]
+    fields = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "open"]
+    rows = [dict(zip(fields, r)) for r in packing._pieces(iter(batches), own, bytes(4), packing.Windows(64, 4, 0))]
+    check_pieces(rows, enumerate(texts), 64)
+    assert sum(k in ("two", "three") for k in asked) <= 2 * len(batches)  # of 600 in these texts
+
+
+@pytest.mark.parametrize(("name", "keeps"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+@pytest.mark.parametrize("most", [1, 5, 150, 1 << 18])
+def test_units_are_joined_by_groups_of_texts(name, keeps, most, monkeypatch):
+    rng = random.Random(6)
+    texts = ["", *(prose(rng, rng.randrange(40)) for _ in range(60)), "a  b", None, "x (y), z!", "", "(z)! x", " ", "end"]
+    monkeypatch.setattr(common, "JOINED", most)
+    library, own = Tokenizer.from_file(tokenizer_path(name)), common.UnitTokenizer(tokenizer_path(name), keeps)
+    for text, ids in zip(texts, own.encode_all(pa.array(texts)), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+
+
 @pytest.mark.parametrize("planes", ["byte", "bit"])
 def test_token_store_round_trip(spark, odd, empty, planes):
     shards = token_store.write_tokens(odd, tokenizer_path("word_bpe_49k.json"), planes=planes, partitions=3)
