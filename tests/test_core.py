@@ -15,6 +15,7 @@ from grainmill.functions import text as T
 from grainmill.functions.hashing import PRIME, lsh_parameters, minhash, permutations, portable_hashes
 from grainmill.operators import dedup, intervals, ledger, metrics, validate
 from grainmill.plans.components import connected_components
+from grainmill.plans.queries import QUERIES
 from grainmill.plans.shared import materialise
 
 
@@ -219,3 +220,22 @@ def test_first_repeated_windows_stay(spark, monkeypatch, piece):
         covered = {(k, i + j) for at in places.values() if len(at) > 1 for k, i in at[keep:] for j in range(21)}
         found = intervals.repeated_windows(docs(spark, texts), 21, keep).collect()
         assert {(r["id"], i) for r in found for i in range(r["start"], r["stop"])} == covered
+
+
+def test_totals_of_repeated_passages(spark, tmp_path, monkeypatch):
+    rng = random.Random(7)
+    passage = "".join(rng.choices("abcdefgh", k=8_000))
+    texts = [f"{chr(97 + k)}|{passage}" for k in range(20)] + [passage, "short", None, "".join(rng.choices("xyz", k=4_000))]
+    rows = docs(spark, texts).select("doc_id", "text", F.lit("s").alias("source"), F.lit("en").alias("lang"), F.length("text").cast("long").alias("n_chars"))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    written = []
+
+    def counted(df, name="step"):
+        out = materialise(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(intervals, "materialise", counted)
+    found = QUERIES["substring_dedup_totals"](spark, str(tmp_path)).first()
+    assert found.asDict() == {"documents": 24, "cut_documents": 21, "cut_bytes": 20 * 8_001 + 8_000, "kept": 22}
+    assert sum(written) < sum(len(t or "") for t in texts) / 10
