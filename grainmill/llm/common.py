@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainmill.plans.shared import is_marked, marked  # noqa: F401
+
 WORD = r"[^\x20\x09-\x0D]+"
 CACHE_WORDS = 100_000
 SEEN = 1 << 20
@@ -244,27 +246,6 @@ def unit_tokenizer(path: str, keeps_space: bool) -> UnitTokenizer:
     return kept((path, keeps_space), lambda: UnitTokenizer(path, keeps_space))
 
 
-def marked(hashes: DataFrame, n: int, most_bits: int = 1 << 28) -> tuple[np.ndarray, int]:
-    """A bitmap in which the hashes (longs) of a one-column table are marked, and its number of bits.
-
-    About 16 bits for each of the n hashes, up to ``most_bits`` (32 MB), so a broadcast of it is bounded. It lets some
-    others through, more of them the more there are; whoever uses it must undo that by a join.
-    """
-    bits = 1 << min(most_bits.bit_length() - 1, max(16, (16 * n).bit_length()))
-    at = F.pmod(hashes[hashes.columns[0]], F.lit(bits))
-    rows = hashes.select((at / 32768).cast("long").alias("bucket"), (at % 32768).alias("bit"))
-    bitmap = np.zeros(bits // 8, np.uint8)
-    for r in rows.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("octets")).collect():  # most_bits / 8 bytes at most
-        bitmap[r["bucket"] * 4096 : r["bucket"] * 4096 + len(r["octets"])] = np.frombuffer(bytes(r["octets"]), np.uint8)
-    return bitmap, bits
-
-
-def is_marked(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Which of those hashes are marked, and a few that aren't."""
-    at = hashes & (bits - 1)
-    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-
-
 def text_slices(texts: list[str], most_bytes: int = 4_000_000):
     """(from, to) ranges of texts with at most about ``most_bytes`` characters each, so that memory is bounded."""
     start = size = 0

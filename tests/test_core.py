@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -239,3 +240,41 @@ def test_totals_of_repeated_passages(spark, tmp_path, monkeypatch):
     found = QUERIES["substring_dedup_totals"](spark, str(tmp_path)).first()
     assert found.asDict() == {"documents": 24, "cut_documents": 21, "cut_bytes": 20 * 8_001 + 8_000, "kept": 22}
     assert sum(written) < sum(len(t or "") for t in texts) / 10
+
+
+def kept_tables(monkeypatch, module=dedup):
+    """(name, table) of what a module writes."""
+    written = []
+
+    def noted(df, name="step"):
+        out = materialise(df, name)
+        written.append((name, out))
+        return out
+
+    monkeypatch.setattr(module, "materialise", noted)
+    return written
+
+
+def some_texts(n, seed=9):
+    """Texts with near and exact copies."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choices("abcdefgé", k=rng.randrange(2, 7))) for _ in range(400)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(3, 90))) for _ in range(n)]
+    return [*texts, *(t + " more" for t in texts[::3]), *texts[::5], "", None]
+
+
+def test_workers_hold_slices_of_bounded_size(spark, monkeypatch):
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * k for k in range(200)])], ["text"])
+    monkeypatch.setattr(dedup, "SLICE", 500)
+    pieces = list(dedup.slices(batch, 0))
+    assert pa.Table.from_batches(pieces).column(0).to_pylist() == batch.column(0).to_pylist()
+    assert all(sum(map(len, p.column(0).to_pylist())) <= 500 + 200 for p in pieces) and len(pieces) > 20
+
+
+def test_component_clusters_find_pairs_once(spark, monkeypatch):
+    rows = docs(spark, some_texts(30))
+    signed = materialise(dedup.signatures(rows))
+    written = kept_tables(monkeypatch)
+    found = dedup.verified_clusters(rows, signed, verify="component")
+    assert found.count() > 10
+    assert [name for name, _ in written].count("pairs") == 1 and [name for name, _ in written].count("similar") == 1
