@@ -278,3 +278,13 @@ def test_component_clusters_find_pairs_once(spark, monkeypatch):
     found = dedup.verified_clusters(rows, signed, verify="component")
     assert found.count() > 10
     assert [name for name, _ in written].count("pairs") == 1 and [name for name, _ in written].count("similar") == 1
+
+
+def test_decisions_keep_no_runs_of_unmatched_texts(spark, monkeypatch):
+    texts = some_texts(40)
+    rows, reference = docs(spark, texts), docs(spark, [texts[0], texts[1] + " more", "nothing like it at all"])
+    written = kept_tables(monkeypatch)
+    reasons = [r["reason"] for r in dedup.decisions(rows, reference, 0.8, 0.2).collect()]
+    assert {"contaminated", "near_duplicate", "exact_duplicate", "kept"} == set(reasons) and len(reasons) == len(texts)
+    (sets,) = (df for name, df in written if name == "sets" and "signature" in df.columns)
+    assert sets.where("grams is not null").count() < len(texts) / 4
