@@ -288,3 +288,10 @@ def test_decisions_keep_no_runs_of_unmatched_texts(spark, monkeypatch):
     assert {"contaminated", "near_duplicate", "exact_duplicate", "kept"} == set(reasons) and len(reasons) == len(texts)
     (sets,) = (df for name, df in written if name == "sets" and "signature" in df.columns)
     assert sets.where("grams is not null").count() < len(texts) / 4
+
+
+def test_signatures_make_nothing_else(spark):
+    signed = dedup.signatures(docs(spark, some_texts(20)), 16)
+    assert "sha2" not in signed._jdf.queryExecution().toString()
+    expected = {k: minhash(np.unique(portable_hashes(" ".join(w[i : i + 3]) for i in range(len(w) - 2))) % PRIME, 16).tolist() for k, t in enumerate(some_texts(20)) if len(w := (t or "").split()) >= 5}
+    assert {r["id"]: r["signature"] for r in signed.collect()} == expected
