@@ -295,3 +295,14 @@ def test_signatures_make_nothing_else(spark):
     assert "sha2" not in signed._jdf.queryExecution().toString()
     expected = {k: minhash(np.unique(portable_hashes(" ".join(w[i : i + 3]) for i in range(len(w) - 2))) % PRIME, 16).tolist() for k, t in enumerate(some_texts(20)) if len(w := (t or "").split()) >= 5}
     assert {r["id"]: r["signature"] for r in signed.collect()} == expected
+
+
+def test_copies_have_one_class_each(spark):
+    texts = some_texts(60)
+    signed = dedup.signatures(docs(spark, texts))
+    classes = dedup.signature_classes(signed)
+    first = {}
+    for r in sorted(signed.collect()):
+        first.setdefault(tuple(r["signature"]), r["id"])
+    assert {r["id"]: r["class"] for r in classes.collect()} == {r["id"]: first[tuple(r["signature"])] for r in signed.collect()}
+    assert "array_join" not in classes._jdf.queryExecution().toString()
