@@ -306,3 +306,23 @@ def test_copies_have_one_class_each(spark):
         first.setdefault(tuple(r["signature"]), r["id"])
     assert {r["id"]: r["class"] for r in classes.collect()} == {r["id"]: first[tuple(r["signature"])] for r in signed.collect()}
     assert "array_join" not in classes._jdf.queryExecution().toString()
+
+
+def test_similarities_shuffle_no_texts(spark, monkeypatch):
+    texts = some_texts(30)
+    rows = docs(spark, texts)
+    written = kept_tables(monkeypatch)
+    pairs = spark.createDataFrame([(0, 30), (3, 31), (0, 1), (len(texts) - 2, len(texts) - 1)], "a long, b long")
+    found = {(r["a"], r["b"]): r["similarity"] for r in dedup.similarities(rows, pairs).collect()}
+
+    def runs(t):
+        w = (t or "").split()
+        return {" ".join(w[i : i + 3]) for i in range(max(len(w) - 2, min(1, len(w))))}
+
+    for a, b in ((0, 30), (3, 31), (0, 1)):
+        x, y = runs(texts[a]), runs(texts[b])
+        assert found[a, b] == len(x & y) / len(x | y)
+    assert found[len(texts) - 2, len(texts) - 1] == 1.0
+    (sets,) = (df for name, df in written if name == "sets")
+    assert {r["id"] for r in sets.collect()} == {0, 30, 3, 31, 1, len(texts) - 2, len(texts) - 1}
+    assert [name for name, _ in written] == ["pairs", "sets"]
