@@ -326,3 +326,28 @@ def test_similarities_shuffle_no_texts(spark, monkeypatch):
     (sets,) = (df for name, df in written if name == "sets")
     assert {r["id"] for r in sets.collect()} == {0, 30, 3, 31, 1, len(texts) - 2, len(texts) - 1}
     assert [name for name, _ in written] == ["pairs", "sets"]
+
+
+@pytest.mark.parametrize("bits", [1, 1 << 28])
+def test_best_matches_sign_only_what_may_match(spark, monkeypatch, bits):
+    texts = some_texts(60)
+    other = [texts[4] + " and so on", texts[9], " ".join(texts[12].split()[:20]), "alone"]
+    if bits == 1:  # a bitmap that lets all through
+        monkeypatch.setattr(dedup, "marked", lambda hashes, n: (np.full(1 << 13, 255, np.uint8), 1 << 16))
+    written = kept_tables(monkeypatch)
+    found = {r["id"]: (r["match"], r["similarity"]) for r in dedup.best_matches(docs(spark, texts), docs(spark, other), 0.1).collect()}
+
+    def runs(t):
+        w = (t or "").split()
+        return {" ".join(w[i : i + 3]) for i in range(max(len(w) - 2, min(1, len(w))))}
+
+    count, rows = lsh_parameters(0.1, 128)
+    sign = lambda t: minhash(portable_hashes(runs(t)) % PRIME, 128)[: count * rows].reshape(count, rows)
+    expected = {}
+    for k, t in enumerate(texts):
+        scored = [(len(runs(t) & runs(u)) / len(runs(t) | runs(u)), -j) for j, u in enumerate(other) if runs(t) and (sign(t) == sign(u)).all(1).any()]
+        if scored and max(scored)[0] >= 0.1:
+            expected[k] = (-max(scored)[1], max(scored)[0])
+    assert found == expected and len(found) > 3
+    (probes,) = (df for name, df in written if name == "probes")
+    assert bits == 1 or probes.count() < len(texts) / 4
