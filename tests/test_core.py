@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -351,3 +352,15 @@ def test_best_matches_sign_only_what_may_match(spark, monkeypatch, bits):
     assert found == expected and len(found) > 3
     (probes,) = (df for name, df in written if name == "probes")
     assert bits == 1 or probes.count() < len(texts) / 4
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=60))
+def test_words_are_those_of_the_pattern(text):
+    text = text.encode("utf-8", "replace").decode()
+    assert [w.decode() for w in dedup.words_of(text)] == regex.findall(r"[\p{L}\p{M}\p{N}_]+", text)
+
+
+def test_words_among_many_marks():
+    text = "".join(f"w{k}{chr(0x2190 + k)}é{k}" for k in range(90)) + "".join(map(chr, range(0x250)))
+    assert [w.decode() for w in dedup.words_of(text)] == regex.findall(r"[\p{L}\p{M}\p{N}_]+", text)
