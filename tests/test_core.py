@@ -364,3 +364,13 @@ def test_words_are_those_of_the_pattern(text):
 def test_words_among_many_marks():
     text = "".join(f"w{k}{chr(0x2190 + k)}é{k}" for k in range(90)) + "".join(map(chr, range(0x250)))
     assert [w.decode() for w in dedup.words_of(text)] == regex.findall(r"[\p{L}\p{M}\p{N}_]+", text)
+
+
+def test_contaminated_keeps_no_runs_of_other_texts(spark, monkeypatch):
+    texts = some_texts(60)
+    reference = docs(spark, [texts[0].upper(), " ".join(texts[1].split()[:-1]), "alone"])
+    written = kept_tables(monkeypatch)
+    found = {r["id"]: r["match"] for r in dedup.contaminated(docs(spark, texts), reference, 0.2).collect()}
+    assert found == {k: 0 if t.removesuffix(" more") == texts[0] else 1 for k, t in enumerate(texts) if t and t.removesuffix(" more") in texts[:2]}
+    (sets,) = (df for name, df in written if name == "sets")
+    assert sets.count() == len(texts) and sets.where("grams is not null or signature is not null").count() < 10
