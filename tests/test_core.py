@@ -374,3 +374,17 @@ def test_contaminated_keeps_no_runs_of_other_texts(spark, monkeypatch):
     assert found == {k: 0 if t.removesuffix(" more") == texts[0] else 1 for k, t in enumerate(texts) if t and t.removesuffix(" more") in texts[:2]}
     (sets,) = (df for name, df in written if name == "sets")
     assert sets.count() == len(texts) and sets.where("grams is not null or signature is not null").count() < 10
+
+
+def test_funnel_and_star_groups_write_less_than_the_texts(spark, tmp_path, monkeypatch):
+    texts = some_texts(200)
+    rows = docs(spark, texts).select("doc_id", "text", F.lit("s").alias("source"), F.lit("en").alias("lang"), F.length("text").cast("long").alias("n_chars"))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    docs(spark, texts[:2]).withColumnRenamed("doc_id", "item_id").write.parquet(str(tmp_path / "benchmark.parquet"))
+    written = kept_tables(monkeypatch)
+    shares = {r["reason"]: r["records"] for r in QUERIES["dedup_funnel"](spark, str(tmp_path)).collect()}
+    groups = QUERIES["dedup_star_groups"](spark, str(tmp_path)).collect()
+    assert sum(shares.values()) == len(texts) and sum(r["size"] - 1 for r in groups) == shares["exact_duplicate"] + shares["near_duplicate"]
+    held = sum(df.agg(F.sum(F.size("grams"))).first()[0] or 0 for name, df in written if "grams" in df.columns and "signature" in df.columns and name == "sets")
+    runs = sum(max(len((t or "").split()) - 2, 0) for t in texts)
+    assert 0 < held < runs / 5  # of two passes
