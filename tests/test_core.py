@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -17,7 +18,7 @@ from grainmill.functions import text as T
 from grainmill.functions.hashing import PRIME, lsh_parameters, minhash, permutations, portable_hashes
 from grainmill.operators import dedup, intervals, ledger, metrics, validate
 from grainmill.plans.components import connected_components
-from grainmill.plans.queries import QUERIES
+from grainmill.plans.queries import QUERIES, SQL
 from grainmill.plans.shared import materialise
 
 
@@ -388,3 +389,15 @@ def test_funnel_and_star_groups_write_less_than_the_texts(spark, tmp_path, monke
     held = sum(df.agg(F.sum(F.size("grams"))).first()[0] or 0 for name, df in written if "grams" in df.columns and "signature" in df.columns and name == "sets")
     runs = sum(max(len((t or "").split()) - 2, 0) for t in texts)
     assert 0 < held < runs / 5  # of two passes
+
+
+def test_neighbours_are_compared_where_they_are_found(spark, tmp_path, monkeypatch):
+    texts = ["b b c d", "b b c d e", None, "", "...", "É é è", "é É è", None]
+    rows = docs(spark, texts).select("doc_id", "text", F.lit("s").alias("source"), F.lit("en").alias("lang"), F.lit(0).cast("long").alias("n_chars"))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    written = kept_tables(monkeypatch)
+    found = sorted(tuple(r) for r in QUERIES["jaccard_pairs"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert found == sorted(con.execute(SQL["jaccard_pairs"]).fetchall()) and len(found) == 7
+    assert not written
