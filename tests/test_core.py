@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from grainmill.functions import pii
 from grainmill.functions import text as T
-from grainmill.functions.hashing import PRIME, lsh_parameters, minhash, permutations, portable_hashes
+from grainmill.functions.hashing import PRIME, _room, lsh_parameters, minhash, permutations, portable_hashes
 from grainmill.operators import dedup, intervals, ledger, metrics, validate
 from grainmill.plans.components import connected_components
 from grainmill.plans.queries import QUERIES, SQL
@@ -401,3 +401,11 @@ def test_neighbours_are_compared_where_they_are_found(spark, tmp_path, monkeypat
     con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     assert found == sorted(con.execute(SQL["jaccard_pairs"]).fetchall()) and len(found) == 7
     assert not written
+
+
+def test_minhash_over_several_pieces():
+    hashes = np.random.default_rng(4).integers(0, PRIME, 300)
+    hashes[:2] = 0, PRIME - 1
+    for some in (hashes, hashes[:128], hashes[:1], hashes[:0]):
+        assert minhash(some, 128).tolist() == [min(((a * int(h) + b) % PRIME for h in some), default=PRIME) for a, b in permutations(128)]
+    assert {x.dtype.itemsize * x.size for x in _room(128, 42)[4:]} == {65_536}  # what is reduced is of 32 bits
