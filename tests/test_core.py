@@ -409,3 +409,13 @@ def test_minhash_over_several_pieces():
     for some in (hashes, hashes[:128], hashes[:1], hashes[:0]):
         assert minhash(some, 128).tolist() == [min(((a * int(h) + b) % PRIME for h in some), default=PRIME) for a, b in permutations(128)]
     assert {x.dtype.itemsize * x.size for x in _room(128, 42)[4:]} == {65_536}  # what is reduced is of 32 bits
+
+
+def test_bits_of_many_hashes_are_counted_by_pieces():
+    hashes = np.random.default_rng(3).integers(0, 1 << 60, 40_001)
+    expected = sum(1 << k for k in range(60) if 2 * int((hashes >> k & 1).sum()) > len(hashes))
+    assert dedup.majority(hashes) == expected and dedup.majority(hashes[:0]) == 0
+
+
+def test_fingerprints_make_nothing_else(spark):
+    assert "sha2" not in dedup.fingerprints(docs(spark, ["a b c d e f"]))._jdf.queryExecution().toString()
